@@ -1,0 +1,116 @@
+"""Budget admission, usage folding and event-time windows, in batch and as streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+RESERVE = 64_000
+
+
+def folded_usage(events: DataFrame, key: str, order: list[str], value: str, final: Column) -> DataFrame:
+    """The last final value of each response, and whether there was one."""
+    return events.groupBy(key).agg(F.max_by(F.when(final, F.col(value)), F.when(final, F.struct(*order))).alias("used"), F.bool_or(final).alias("found"), F.count("*").alias("events"))
+
+
+def max_in_flight(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Most requests at one time: a running sum of +1 at starts and -1 at ends; an end frees before a start at the same time takes."""
+    edges = spans.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    w = Window.partitionBy(key).orderBy("e.at", "e.step").rowsBetween(Window.unboundedPreceding, 0)
+    return edges.withColumn("now", F.sum("e.step").over(w)).groupBy(key).agg(F.max("now").alias("max_in_flight"))
+
+
+def admit(spent: float, reserved: float, budget: float) -> bool:
+    """A request goes through while something of the budget is neither spent nor reserved."""
+    return spent + reserved < budget
+
+
+class Admission(StatefulProcessor):
+    """Per trial, requests in order of sequence: admitted while budget remains; an admitted request counts in full.
+
+    Rows: trial, seq, tokens. Emits trial, seq, admitted, spent. Rows of one batch are handled by seq."""
+
+    def __init__(self, budget: float):
+        self.budget = budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("spent", "spent double, refused long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spent, refused = self.state.get() if self.state.exists() else (0.0, 0)
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for seq, tokens in zip(pdf["seq"], pdf["tokens"], strict=True):
+            ok = admit(spent, 0.0, self.budget)
+            spent += tokens if ok else 0.0
+            refused += not ok
+            out.append((key[0], seq, ok, spent))
+        self.state.update((spent, refused))
+        yield pd.DataFrame(out, columns=["trial", "seq", "admitted", "spent"])
+
+    def close(self) -> None:
+        pass
+
+
+ADMITTED = "trial long, seq long, admitted boolean, spent double"
+
+
+def admission_stream(requests: DataFrame, budget: float) -> DataFrame:
+    """A stream of admissions (append mode) of a stream of requests (trial, seq, tokens)."""
+    return requests.groupBy("trial").transformWithStateInPandas(Admission(budget), ADMITTED, "append", "none")
+
+
+def admission_batch(requests: DataFrame, budget: float) -> DataFrame:
+    """The same over a table. As an admitted request counts in full and a refused one not at all, a request is admitted iff
+    all before it use less than the budget."""
+    w = Window.partitionBy("trial").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("tokens").over(w) - F.col("tokens")
+    rows = requests.withColumn("admitted", before < budget)
+    return rows.withColumn("spent", F.sum(F.when(F.col("admitted"), F.col("tokens")).otherwise(0.0)).over(w)).select("trial", "seq", "admitted", "spent")
+
+
+def publish(stream: DataFrame, folder: str, checkpoint: str, key: str):
+    """Start a query that keeps the last row of each key in folder: every batch replaces what it brings anew."""
+    from gaugeworks.operators.records import upsert
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = f"{folder}/epoch={epoch}"
+        if epoch:
+            previous = spark.read.parquet(f"{folder}/epoch={epoch - 1}")
+            batch = upsert(previous, batch, key)
+        batch.write.mode("overwrite").parquet(target)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tumbling(events: DataFrame, time: str, width: str, *keys: str, late: str | None = None) -> DataFrame:
+    """Counts and sums by window of event time; with `late`, a watermark that bounds the state of a stream."""
+    rows = events.withWatermark(time, late) if late else events
+    return rows.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", *keys, "n", "total")
+
+
+def sessions(events: DataFrame, time: str, gap: str, key: str, late: str | None = None) -> DataFrame:
+    rows = events.withWatermark(time, late) if late else events
+    return rows.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select("w.start", key, "n")
+
+
+def allowed_scorers(memory_gb: Column, live: Column, low: int, high: int) -> Column:
+    """How many scorers fit beside the live episodes."""
+    return F.least(F.greatest(F.floor((memory_gb - 3 - live * 0.5) / 2.5), F.lit(low)), F.lit(high)).cast("int")
+
+
+def bounded_images(rounds: pd.DataFrame, high: int, low: int) -> pd.DataFrame:
+    """Images of one episode (n: new in each round, seed images never go): when more than `high` are held, the oldest go until
+    `low` are; what went stays gone. Returns rounds with held and dropped."""
+    held, out = 0, []
+    for n in rounds.sort_values("round")["images"]:
+        held += n
+        gone = max(0, held - low) if held > high else 0
+        held -= gone
+        out.append((held, gone))
+    return rounds.sort_values("round").assign(held=[h for h, _ in out], dropped=[g for _, g in out])
