@@ -9,11 +9,12 @@ at a rate of its length: intervals wholly below the count count in full, in the
 by their place. Points come in order of time, and a document stops at a time by which all components are
 filled (else it goes on twice as far), so most shingles cost one hash and no component-by-shingle table is made.
 
-Candidates. 32 bands of 6 components: a pair at 0.8 shares a band with probability above 0.9999. Equal
-texts (equal shingle multisets with equal text digests) are one class from the start. Within a bucket no
-pairs are emitted: all members are held against one hub, the smallest not yet used there; links join
-components, and buckets that still hold several components go on with the next hub, until each bucket's
-members left are in one component. So every pair of different components that meets in a bucket is verified.
+Candidates. 27 bands of 5 components: a pair at 0.8 shares a band with probability above 0.9999. Equal
+texts are one class from the start. Within a bucket no pairs are emitted: all members are held against one
+hub, and links join components. Buckets that still hold several components make up families; a family's
+members lie by component in blocks of bounded size, and blocks that aren't of one and the same component
+are compared as wholes, which yields only links. So every pair of different components that meets in a
+bucket is verified, and a group of near copies costs no more than its members that didn't join it at once.
 
 Verification is exact: multiset overlap of the texts' 64-bit shingle hashes, 0.8 or more.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bloom
@@ -39,10 +40,12 @@ from gaugeworks.llm.words import U, mix, pieces, shingles, texts_of, words
 from gaugeworks.llm.workspace import Workspace
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 27, 5
+#: Shingles of a block of a family; a longer document is a block of its own.
+BLOCK_SHINGLES = 1 << 19
 #: -log of the chance that a document must go on after its first stop
 SURE = 3.0
-SALT = [int(x) for x in mix(np.arange(1, 9, dtype=U) * U(0x9E3779B97F4A7C15))]
+SALT = [int(x) for x in mix(np.arange(1, 10, dtype=U) * U(0x9E3779B97F4A7C15))]
 
 
 def multiset(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,39 +81,40 @@ def signatures(items: np.ndarray, counts: np.ndarray, offsets: np.ndarray, size:
     with np.errstate(over="ignore"):
         seed = mix(items[row] + level.astype(U) * U(SALT[0]))
     text, rate = text[row], length.astype(float) * size
-    weight = np.bincount(text, minlength=n, weights=np.where(level == 0, 0, 0)) + np.add.reduceat(np.append(counts, 0), np.minimum(offsets[:-1], len(counts))) * (np.diff(offsets) > 0)
+    weight = np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets])
+    partial = np.flatnonzero(~whole)
     todo = weight > 0
     times = np.full(n * size, np.inf)
-    stop = np.where(todo, (math.log(size) + SURE) / np.maximum(weight, 1), 0)
+    stop = np.where(todo, (math.log(size) + SURE) / np.maximum(weight, 1), 0.0)
     while todo.any():
         live = np.flatnonzero(todo[text])
-        time, state = np.zeros(len(live)), seed[live]
+        state, time, limit, step, base_slot = seed[live], np.zeros(len(live)), stop[text[live]], -1 / rate[live], text[live] * size
+        some_partial = len(partial) > 0
         found_at, found_time, found_value = [], [], []
         while len(live):
             with np.errstate(over="ignore"):
                 state = mix(state + U(SALT[1]))
-                time = time - np.log(_uniform(state)) / rate[live]
-                on = time <= stop[text[live]]
-                live, state, time = live[on], state[on], time[on]
-                if not len(live):
-                    break
-                draw = mix(state ^ U(SALT[2]))
-                seen = whole[live] | ((mix(state ^ U(SALT[3])) % length[live].astype(U)).astype(np.int64) < cover[live])
-            slot = text[live] * size + (draw % U(size)).astype(np.int64)
-            found_at.append(slot[seen])
-            found_time.append(time[seen])
-            found_value.append(mix(draw ^ U(SALT[4]))[seen])
-        if found_at:
-            at, when, value = (np.concatenate(x) for x in (found_at, found_time, found_value))
-            order = np.lexsort((value, when, at))
-            at, when, value = at[order], when[order], value[order]
-            first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-            times[at[first]] = when[first]
-            out.reshape(-1)[at[first]] = value[first]
+                time = time + np.log(_uniform(state)) * step
+                on = np.flatnonzero(time <= limit)
+                if len(on) < len(live):
+                    live, state, time, limit, step, base_slot = live[on], state[on], time[on], limit[on], step[on], base_slot[on]
+                slot = base_slot + (((state * U(SALT[2])) >> U(32)) * U(size) >> U(32)).astype(np.int64)
+                if some_partial:
+                    seen = whole[live] | ((mix(state ^ U(SALT[3])) % length[live].astype(U)).astype(np.int64) < cover[live])
+                    found_at.append(slot[seen])
+                    found_time.append(time[seen])
+                    found_value.append(state[seen])
+                else:
+                    found_at.append(slot)
+                    found_time.append(time)
+                    found_value.append(state)
+        at, when, value = (np.concatenate(x) for x in (found_at, found_time, found_value))
+        np.minimum.at(times, at, when)
+        first = when == times[at]
+        out.reshape(-1)[at[first]] = value[first]
         todo = todo & np.isinf(times.reshape(n, size)).any(1)
         stop = np.where(todo, stop * 2, stop)
-        reset = np.repeat(todo, size)
-        times[reset] = np.inf
+        times[np.repeat(todo, size)] = np.inf
     return out
 
 
@@ -191,42 +195,106 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = work.keep(members.join(crowded, "bucket"), "members-0")
     # texts are shuffled only for representatives that share a bucket with another
     reps = work.keep(bloom.keep_possible(texts, "doc_id", bloom.build(members, "rep")), "texts")
-    labels = None
-    links = []
-    k = 0
-    while True:
-        now = members if labels is None else members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
-        if labels is None:
-            now = now.withColumn("label", F.col("rep"))
-        hubs = now.groupBy("bucket").agg(F.min(F.struct("rep", "size", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        now = work.keep(now.join(hubs, "bucket").where("rep <> hub.rep").select("bucket", "rep", "size", "label", "hub"), f"against-hub-{k}")
-        fit = F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size")
-        pairs = now.where((F.col("label") != F.col("hub.label")) & fit).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        pairs = work.keep(pairs, f"pairs-{k}")
-        if pairs.isEmpty() and now.isEmpty():
-            break
-        if not pairs.isEmpty():
-            left = pairs.join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            full = left.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            links.append(work.keep(full.mapInArrow(_verify(similarity), "a long, b long, similarity double"), f"links-{k}"))
-            joined = links[0]
-            for more in links[1:]:
-                joined = joined.union(more)
-            labels = components(joined.select("a", "b").union(same_id), work, f"components-{k}")
-        members = now.select("bucket", "rep", "size")
-        k += 1
-    if labels is None:
-        labels = components(same_id, work, "components")
-        linked = None
-    else:
-        linked = joined.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    # 1. every member against its bucket's hub
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("hub"))
+    stars = members.join(hubs, "bucket").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("size").alias("n"), F.col("hub.size").alias("m")).distinct()
+    stars = stars.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
+    left = stars.join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = left.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    links = work.keep(full.mapInArrow(_verify(similarity), "a long, b long, similarity double"), "links-0")
+    labels = components(links.select("a", "b").union(same_id), work, "components-0")
+    # 2. buckets that still hold several components: each family of such buckets, block against block
+    now = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    open_ = now.groupBy("bucket").agg(F.min("rep").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "hub")
+    open_ = work.keep(now.join(open_, "bucket").select("rep", "label", "hub").distinct(), "open")
+    if not open_.isEmpty():
+        family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")), work, "families")
+        more = work.keep(_block_links(open_, family, reps, similarity), "links-1")
+        links = links.union(more)
+        if not more.isEmpty():
+            labels = components(links.select("a", "b").union(same_id), work, "components-1")
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = signed.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest", "left")
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
-    out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    out = out.join(linked, "rep", "left") if linked is not None else out.withColumn("links", F.lit(0))
+    out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(linked, "rep", "left")
     return out.select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A multiset as a set: a shingle's k-th occurrence is an item of its own, so overlap is a plain count."""
+    for batch in batches:
+        reps = batch.column("doc_id").cast(pa.int64())
+        for at, some in pieces(texts_of(batch.column("text"))):
+            hashes, _, _, offsets = words(some)
+            items, counts, bounds = multiset(*shingles(hashes, offsets, SHINGLE))
+            nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            with np.errstate(over="ignore"):
+                flat = mix(np.repeat(items, counts) + nth.astype(U) * U(SALT[7]))
+            ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+            yield pa.RecordBatch.from_pydict(
+                {"rep": reps.slice(at, len(some)), "size": pa.array(np.diff(ends), pa.int64()), "items": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())}
+            )
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Size of the intersection of each set on the left with each on the right: products of 0-1 matrices, some items at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate(x) if x else np.zeros(0, U) for x in (left, right))
+    both = np.intersect1d(a, b)
+    sides = []
+    for sets, flat in ((left, a), (right, b)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, flat)
+        ok = at < len(both)
+        ok[ok] = both[at[ok]] == flat[ok]
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((row[ok][order], at[ok][order]))
+    for first in range(0, len(both), columns):
+        some = []
+        for (row, at), n in zip(sides, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, [first, first + columns])
+            m = np.zeros((n, min(columns, len(both) - first)), np.float32)
+            m[row[lo:hi], at[lo:hi] - first] = 1
+            some.append(m)
+        out += some[0] @ some[1].T
+    return out
+
+
+def _compare_blocks(similarity: float):
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, rep, label = (table[c].to_numpy() for c in ("side", "rep", "label"))
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table["items"].chunk(0)]
+        size = np.array([len(x) for x in sets])
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        r = l if not len(r) else r  # a block against itself comes once
+        shared = shared_counts([sets[k] for k in l], [sets[k] for k in r])
+        union = size[l][:, None] + size[r][None, :] - shared
+        hit = (shared >= similarity * union) & (label[l][:, None] != label[r][None, :]) & (union > 0)
+        i, j = np.nonzero(hit)
+        return pa.table({"a": pa.array(rep[l[i]], pa.int64()), "b": pa.array(rep[r[j]], pa.int64()), "similarity": pa.array((shared[i, j] / union[i, j]).astype(float))})
+
+    return compare
+
+
+def _block_links(open_: DataFrame, family: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """All links between different components within families, exactly. Blocks hold a bounded number of shingles; members
+    lie by component, and two blocks of one and the same component never meet."""
+    one = open_.select("rep", "label").distinct().join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
+    texts = one.join(reps.withColumnRenamed("doc_id", "rep"), "rep")
+    sets = texts.select(F.col("rep").alias("doc_id"), "text").mapInArrow(_expand, "rep long, size long, items binary").dropDuplicates(["rep"])
+    rows = sets.join(one, "rep")
+    order = Window.partitionBy("family").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("family", "label", "rep", "size").withColumn("block", F.floor((F.sum("size").over(order) - F.col("size")) / BLOCK_SHINGLES))
+    blocks = placed.groupBy("family", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    meet = blocks.alias("x").join(blocks.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")))
+    meet = meet.where("not (x.low = x.high and y.low = y.high and x.low = y.low)").select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))
+    asked = meet.select("family", "i", "j", F.explode(sides).alias("s")).select("family", "i", "j", "s.side", "s.block")
+    given = placed.select("family", "block", "rep", "label").join(asked, ["family", "block"]).join(sets.select("rep", "items"), "rep")
+    return given.select("family", "i", "j", "side", "rep", "label", "items").groupBy("family", "i", "j").applyInArrow(_compare_blocks(similarity), "a long, b long, similarity double")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

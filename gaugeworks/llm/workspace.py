@@ -17,10 +17,7 @@ LOCAL_DEFAULT = "file:///tmp/gaugeworks-checkpoints"
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = LOCAL_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or LOCAL_DEFAULT).rstrip("/")
 
 
 class Workspace:
