@@ -1,0 +1,65 @@
+import pandas as pd
+from pyspark.sql import functions as F
+
+from gaugeworks.streaming import meter as M
+
+
+def brute(rows, budget):
+    spent, out = {}, []
+    for trial, seq, tokens in sorted(rows):
+        ok = spent.get(trial, 0) < budget
+        spent[trial] = spent.get(trial, 0) + (tokens if ok else 0)
+        out.append((trial, seq, ok, float(spent[trial])))
+    return out
+
+
+ROWS = [(t, s, float((t * 7 + s * 13) % 40)) for t in range(4) for s in range(30)]
+SCHEMA = "trial long, seq long, tokens double"
+
+
+def test_batch_admission(spark):
+    got = sorted(tuple(r) for r in M.admission_batch(spark.createDataFrame(ROWS, SCHEMA), 200.0).collect())
+    assert got == brute(ROWS, 200.0)
+
+
+def test_stream_admission_keeps_state_over_batches(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([r for r in ROWS if r[1] // 10 == k], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = M.admission_stream(stream, 200.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len(ROWS) and {r.trial for r in got} == {0, 1, 2, 3}
+    assert sorted(tuple(r) for r in got) == brute(ROWS, 200.0)
+
+
+def test_publication_replaces_rows(spark, tmp_path):
+    for k, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2)]]):
+        spark.createDataFrame(rows, "case string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("case string, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    M.publish(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "case").awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "out/epoch=1"))
+    assert {r["case"]: r.v for r in last.collect()} == {"a": 1, "b": 2}
+
+
+def test_windows_in_batch_and_stream_agree(spark, tmp_path, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = M.tumbling(stream, "ts", "1 day", "event_type", late="1 hour").writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = sorted((r.start, r.event_type, r.n) for r in M.tumbling(events, "ts", "1 day", "event_type").collect())
+    assert sorted((r.start, r.event_type, r.n) for r in spark.sql("select * from daily").collect()) == want
+
+
+def test_in_flight_usage_and_images(spark):
+    spans = spark.createDataFrame([(1, 0, 5), (1, 3, 8), (1, 5, 9), (2, 0, 1)], "k int, a int, b int")
+    assert {r.k: r.max_in_flight for r in M.max_in_flight(spans, "k", "a", "b").collect()} == {1: 2, 2: 1}
+    events = spark.createDataFrame([(1, 1, 10, True), (1, 2, 99, False), (1, 3, 12, True), (2, 1, 5, False)], "k int, seq int, v int, final boolean")
+    assert {r.k: (r.used, r.found) for r in M.folded_usage(events, "k", ["seq"], "v", F.col("final")).collect()} == {1: (12, True), 2: (None, False)}
+    held = M.bounded_images(pd.DataFrame({"round": [1, 2, 3, 4], "images": [3, 3, 3, 1]}), 6, 2)
+    assert held["held"].tolist() == [3, 6, 2, 3] and held["dropped"].tolist() == [0, 0, 7, 0]
