@@ -41,3 +41,13 @@ BOM_WEIGHT, ORIENT_WEIGHT, FIT_WEIGHT, LAYOUT_WEIGHT = 0.15, 0.25, 0.30, 0.30
 LEAST_SHARE, FULL_BASE = 0.001, 1e-6
 RIGID_TOLERANCE = 1e-6
 PAIR_DISTANCE, CONTACT_DISTANCE = 0.35, 0.6
+
+# Fixed values of sheet layout.
+API_LONG_PX, TILE_MIN_CAP, TILE_PX, TILE_OVERLAP, CAP_PER_EM = 2048, 10.0, 2300, 0.10, 0.7
+TILE_GRIDS = [(1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (3, 4), (4, 3), (4, 4), (4, 5), (5, 5)]
+DEFAULT_LETTERING_MM, CONTENT_TEXT_MM, CONTENT_MARGIN, FOOTER_BAND = 2.5, 2.3, 0.01, 0.955
+INK_THRESHOLD, FRAME_RUN, PIXEL_DIFFERENCE, BACKGROUND_DISTANCE, BLACK = 200, 0.6, 8, 12, 40
+OUTPUT_LIMIT_BYTES = 10_000
+
+# Fixed values of instance hits.
+HIT_IOU, SURFACE_TOLERANCE = 0.5, 0.02

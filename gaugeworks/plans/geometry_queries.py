@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalar as S
+from gaugeworks.operators import assembly as A
 from gaugeworks.operators import geometry as G
 from gaugeworks.operators import kernels
+from gaugeworks.operators import layout as L
 from gaugeworks.plans.adapters import POINTS, VOXELS, points, pred_cells, table, true_cells, voxels
 
 c = F.col
@@ -192,3 +194,37 @@ def part_voxel_scores(spark, d):
     v = lambda scale: some.groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", (c("x") * scale).alias("x"), (c("y") * scale).alias("y"), (c("z") * scale).alias("z")))), lambda s: F.array(s["x"], s["y"], s["z"])).alias("vertices"))
     t = tri.groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("tid", "a", "b", "c"))), lambda s: F.array(s["a"], s["b"], s["c"])).alias("triangles"))
     return G.type_scores(v(0.9).join(t, "shape"), v(1.0).join(t, "shape"), 0.5)
+
+
+@query(f"""WITH {VOXELS}, n AS (SELECT shape, count(*) AS n FROM va GROUP BY 1), k AS (SELECT shape, kind, count(*) AS k FROM (SELECT DISTINCT shape, kind, ix, iy, iz FROM lat) GROUP BY ALL) SELECT shape AS "case", kind, round(k / n, 6) AS share FROM k JOIN n USING (shape)""")
+def type_shares(spark, d):
+    true = voxels(spark, d).select(c("shape").alias("case"), "kind", "ix", "iy", "iz")
+    return A.true_shares(true).withColumn("share", F.round("share", 6))
+
+
+@query(None)
+def assembly_attribution(spark, d):
+    """Mean leave-one-out gain of each case, instance hits beside it."""
+    v = voxels(spark, d).withColumnRenamed("shape", "case")
+    pred = v.select("case", "kind", c("jx").alias("ix"), c("jy").alias("iy"), c("jz").alias("iz")).distinct()
+    true = v.select("case", "kind", "ix", "iy", "iz").distinct()
+    gain = A.attribution(pred, true.drop("kind").distinct(), A.true_shares(true))
+    return gain.join(A.instance_hits(pred.withColumnRenamed("kind", "instance"), true.withColumnRenamed("kind", "instance")), "case")
+
+
+@query(None)
+def anisotropy(spark, d):
+    return A.anisotropy(points(spark, d), "board").select("board", *[F.round(F.get("shares", F.lit(i)), 6).alias(f"s{i}") for i in range(3)])
+
+
+@query("""SELECT p_partkey, CASE WHEN 0.7 * 2.5 * 2048 / greatest(w, h) >= 10 THEN 1 WHEN 0.7 * 2.5 * 2048 / greatest(w / 2 * 1.1, h) >= 10 THEN 1 WHEN 0.7 * 2.5 * 2048 / greatest(w, h / 2 * 1.1) >= 10 THEN 2 WHEN 0.7 * 2.5 * 2048 / greatest(w / 2 * 1.1, h / 2 * 1.1) >= 10 THEN 2 ELSE 0 END AS rows
+FROM (SELECT p_partkey, p_size * 12.0 AS w, p_retailprice / 4 AS h FROM part)""")
+def tile_grids(spark, d):
+    """Grids up to 2 x 2 by their rows; larger ones as 0."""
+    p = table(spark, d, "part").select("p_partkey", L.tile_grid(c("p_size") * 12.0, c("p_retailprice") / 4, F.lit(None).cast("double")).alias("g"))
+    return p.select("p_partkey", F.when((c("g.rows") <= 2) & (c("g.cols") <= 2), c("g.rows")).otherwise(0).alias("rows"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, arg_max(role, turn) AS role FROM conversations GROUP BY 1")
+def stream_deltas(spark, d):
+    return L.folded_deltas(table(spark, d, "conversations"), ["conv_id"], "turn", "text", ["role"])
