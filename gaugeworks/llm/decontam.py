@@ -35,7 +35,7 @@ from gaugeworks.llm.words import U, mix, pieces, ranges, texts_of, words
 from gaugeworks.llm.workspace import Workspace
 
 MAX_EDITS = 0.2
-REPETITIONS, SAMPLED = 8, 4
+REPETITIONS, SAMPLED = 12, 4
 SMALLEST = 3
 SEED = 7
 PAD = U(0x5DEECE66D)
@@ -58,7 +58,8 @@ def walk_plan(m: int, repetition: int) -> tuple[np.ndarray, list[int]]:
     """Odd multipliers of each step (their product's top bit moves the cursor) and the sampled coordinates."""
     rng = np.random.default_rng([SEED, m, repetition])
     steps = max(SAMPLED, 3 * m // 2)
-    sampled = sorted(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist())
+    # one coordinate from each of equal stretches: neighbouring ones often hold the same word
+    sampled = [int(rng.integers(steps * k // SAMPLED, steps * (k + 1) // SAMPLED)) for k in range(SAMPLED)]
     return rng.integers(0, 2**63, sampled[-1] + 1, dtype=np.int64).astype(U) * U(2) + U(1), sampled
 
 
