@@ -1,8 +1,8 @@
 """A content-addressed WARC archive as two tables.
 
-`payloads` holds each different payload once, under its SHA-256; `records` holds every record's exact
-header bytes and the digest of its payload. A record is its header, an empty line, its block and two line
-ends; joining the tables gives every original record back, byte for byte. The digest is verified twice:
+`payloads` holds each different payload once, under its SHA-256 and as a zstandard frame of its own;
+`records` holds every record's exact header bytes and the digest of its payload. A record is its header,
+an empty line, its block and two line ends; joining the tables gives every record back, byte for byte. The digest is verified twice:
 on writing, payloads under one SHA-256 must agree in length and SHA-1; on reading, both digests of the
 stored bytes are computed again.
 
@@ -20,8 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm.workspace import Workspace
 
@@ -38,6 +41,18 @@ class Archive:
     payloads: DataFrame
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(payload: pd.Series) -> pd.Series:
+    zstd = zstandard.ZstdCompressor(level=3)
+    return payload.map(zstd.compress)
+
+
+@F.pandas_udf(T.BinaryType())
+def unpacked(frame: pd.Series) -> pd.Series:
+    zstd = zstandard.ZstdDecompressor()
+    return frame.map(zstd.decompress)
+
+
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1: 160 bits are 8 groups of 20, each 5 hexadecimal or 4 base-32 digits."""
     hexa = F.sha1(payload)
@@ -86,29 +101,26 @@ def write_archive(pages: DataFrame, folder: str) -> Archive:
         "holders",
         F.xxhash64("page", "url").alias("spread"),
     ).write.mode("overwrite").parquet(f"{folder}/records")
-    firsts = rows.select("page", "payload", "sha256").join(known.withColumnRenamed("first", "page"), ["sha256", "page"])
-    firsts.select("sha256", "payload", "holders").dropDuplicates(["sha256"]).write.mode("overwrite").parquet(f"{folder}/payloads")
+    once = rows.select("sha256", packed("payload").alias("frame")).dropDuplicates(["sha256"])  # equal bytes, as just verified
+    once.join(known.select("sha256", "holders"), "sha256").write.mode("overwrite").parquet(f"{folder}/payloads")
     return read_archive(spark, folder)
 
 
 def read_archive(spark: SparkSession, folder: str) -> Archive:
     return Archive(
         spark.read.schema("header binary, sha256 string, holders long, spread long").parquet(f"{folder}/records"),
-        spark.read.schema("sha256 string, payload binary, holders long").parquet(f"{folder}/payloads"),
+        spark.read.schema("sha256 string, frame binary, holders long").parquet(f"{folder}/payloads"),
     )
 
 
 def restore(archive: Archive) -> DataFrame:
     """Every record: header (text), payload (verified bytes) and record (the exact WARC bytes)."""
     copies = F.ceil(F.col("holders") / RECORDS_PER_COPY)
-    right = F.sha2("payload", 256) == F.col("sha256")
-    payloads = archive.payloads.select(
-        "sha256",
-        F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest"))).alias("payload"),
-        F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"),
-    )
+    payloads = archive.payloads.select("sha256", "frame", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
     records = archive.records.select("header", "sha256", F.pmod("spread", copies).alias("salt"))
-    joined = records.join(payloads, ["sha256", "salt"])
+    joined = records.join(payloads, ["sha256", "salt"]).select("header", "sha256", unpacked("frame").alias("payload"))
+    right = F.sha2("payload", 256) == F.col("sha256")
+    joined = joined.withColumn("payload", F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest"))))
     text = F.decode("header", "utf-8")
     block = F.when(field(text, "WARC-Type") == "revisit", F.encode(F.lit(""), "utf-8")).otherwise(F.col("payload"))
     ends = F.encode(F.lit(EOL), "utf-8")
