@@ -38,6 +38,8 @@ from gaugeworks.llm.workspace import Workspace
 
 NEIGHBOURS, EVERY = 5, 50
 SAMPLE, CALIBRATION, COVERED = 20_000, 256, 0.98
+#: Bytes of vectors in the sample at most: long vectors give fewer rows.
+SAMPLE_BYTES = 1 << 26
 BITS, ROTATION_BITS, SUBSTRING_BITS = 128, 64, 16
 SUBSTRINGS = BITS // SUBSTRING_BITS
 ITERATIONS = 30
@@ -202,7 +204,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
         return spark.createDataFrame([], out)
     length = lengths[0]["length"]
     rows = rows.where(F.size("embedding") == length)
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * length)))).toArrow()
     sample = [v for _, v in _parse(taken.to_batches(), length)]
     sample = np.concatenate(sample) if sample else np.zeros((0, length))
     if not len(sample):
