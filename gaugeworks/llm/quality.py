@@ -36,7 +36,8 @@ RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 GRID = 4000
 #: Scores from here on count as good.
 THRESHOLD = 0.3
-FAN_IN = 32
+#: Partial sums that are added at once, and at most as many reach the driver; rows that one of them is made from.
+FAN_IN, ROWS_A_SUM = 8, 20_000
 STATISTICS = (
     "log_words", "log_lines", "upper", "digits", "spaces", "ends", "shouts", "bars", "marks", "other_signs", "non_ascii", "word_length", "word_deviation",
     "long_words", "distinct_words", "top_word", "same_as_last", "distinct_pairs", "repeated_lines", "words_a_line", "signs_a_word",
@@ -231,6 +232,7 @@ def fit(measured: DataFrame, labels: DataFrame, work: Workspace) -> Model:
     known = labels.where(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.avg("label").alias("label"))
     rows = measured.join(known, "doc_id").select("x", "label", fold(F.col("doc_id")).alias("fold"))
     rows = work.keep(rows, "learnt-from")
+    rows = rows.coalesce(max(1, math.ceil(rows.count() / ROWS_A_SUM)))
 
     def normal(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         z, y, of = model.features(matrix(batch.column("x"))), batch.column("label").to_numpy(), batch.column("fold").to_numpy()
