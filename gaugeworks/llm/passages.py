@@ -43,8 +43,9 @@ MATCH, MISMATCH, GAP = 1, -2, -2
 LARGEST = U(2**64 - 1)
 
 
-def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text and word position of the seeds of all texts of at least `least` words."""
+def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text, word position and reach of the seeds of all texts of at least `least` words. A seed that repeats at once
+    (a word over and over) is one seed that reaches over the whole run; others reach over k words."""
     values = window_hashes(hashes, k)
     counts = np.diff(offsets)
     counts = np.where(counts >= max(least, k), counts - k + 1, 0)
@@ -53,7 +54,7 @@ def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int
     ends = np.cumsum(counts)
     text = np.repeat(np.arange(len(counts)), counts)
     if not len(v):
-        return np.zeros(0, U), text, np.zeros(0, np.int64)
+        return np.zeros(0, U), text, np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.append(v, np.full(window, LARGEST))
     last = ends[text] - np.arange(len(v))  # k-mers from here to the text's end
     low = v.copy()
@@ -65,9 +66,24 @@ def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int
     for o in range(window):
         chosen[o : o + len(v)] |= (padded[o : o + len(v)] == low) & (last > o)
     chosen = chosen[: len(v)]
-    chosen[1:] &= (v[1:] != v[:-1]) | (text[1:] != text[:-1])  # one of a seed that repeats at once
-    found = np.flatnonzero(chosen)
-    return v[found], text[found], found - (ends - counts)[text[found]]
+    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (text[1:] != text[:-1])])
+    runs = np.flatnonzero(fresh)
+    chosen = np.logical_or.reduceat(chosen, runs)  # of a run, its first k-mer stands for all
+    found = runs[chosen]
+    reach = k - 1 + np.diff(np.append(runs, len(v)))[chosen]
+    # a run as long as a passage is a seed of its own kind too: its first occurrence is then as long
+    long = np.flatnonzero(reach >= least)
+    seed = np.concatenate([v[found], mix(v[found[long]])])
+    found, reach = np.concatenate([found, found[long]]), np.concatenate([reach, reach[long]])
+    # so is a seed's second, third ... occurrence in a text: periodic texts then meet in order, not all at the first period
+    order = np.lexsort((found, seed, text[found]))
+    same = np.concatenate([[False], (seed[order][1:] == seed[order][:-1]) & (text[found[order]][1:] == text[found[order]][:-1])])
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    again, nth = order[nth > 0], nth[nth > 0]
+    with np.errstate(over="ignore"):
+        seed = np.concatenate([seed, mix(seed[again] + nth.astype(U) * U(0x9E3779B97F4A7C15))])
+    found, reach = np.concatenate([found, found[again]]), np.concatenate([reach, reach[again]])
+    return seed, text[found], found - (ends - counts)[text[found]], reach
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +91,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids = batch.column("doc_id").cast(pa.int64())
         for at, some in pieces(texts_of(batch.column("text"))):
             hashes, _, _, offsets = words(some)
-            seed, text, pos = minimisers(hashes, offsets)
-            yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32())})
+            seed, text, pos, reach = minimisers(hashes, offsets)
+            yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(reach, pa.int32())})
 
 
 class Fenwick:
@@ -101,15 +117,16 @@ class Fenwick:
         return found
 
 
-def runs_of(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Seeds (a, b) merged along diagonals: (a, b, length, words in seeds). A run has no gap over MAX_GAP words."""
+def runs_of(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Seeds (a, b, reach) merged along diagonals: (a, b, length, words in seeds). A run has no gap over MAX_GAP words."""
     order = np.lexsort((a, b - a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (np.diff(b - a) != 0) | (np.diff(a) > MAX_GAP + K)])
+    a, b, reach = a[order], b[order], reach[order]
+    since = np.concatenate([[0], (a[:-1] + reach[:-1]) - a[1:]])  # words that the seed before reaches beyond this start
+    new = np.concatenate([[True], (np.diff(b - a) != 0) | (-since[1:] > MAX_GAP)])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(a)) - 1
-    covered = np.where(new, K, np.minimum(np.diff(a, prepend=0), K))
-    return list(zip(a[first].tolist(), b[first].tolist(), (a[last] - a[first] + K).tolist(), np.add.reduceat(covered, first).tolist(), strict=True))
+    ends = np.maximum.reduceat(a + reach, first)
+    covered = np.where(new, reach, np.clip(reach - np.maximum(since, 0), 0, None))
+    return list(zip(a[first].tolist(), b[first].tolist(), (ends - a[first]).tolist(), np.add.reduceat(covered, first).tolist(), strict=True))
 
 
 def chains(runs: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -159,14 +176,14 @@ CHAIN = "doc_id long, source long, chain long, a_from int, a_to int, b_from int,
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by (doc_id, source, pos): a pair's seeds may span batches, so the last pair is carried on."""
     held: list[np.ndarray] | None = None
-    names = ("doc_id", "source", "pos", "source_pos")
+    names = ("doc_id", "source", "pos", "source_pos", "reach")
 
     def pairs(columns: list[np.ndarray]) -> Iterator[dict]:
-        doc, source, a, b = columns
+        doc, source, a, b, reach = columns
         cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(source) != 0)) + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
-            if hi - lo > 1:
-                for k, chain in enumerate(chains(runs_of(a[lo:hi], b[lo:hi]))):
+            if reach[lo:hi].sum() >= SEEDED:
+                for k, chain in enumerate(chains(runs_of(a[lo:hi], b[lo:hi], reach[lo:hi]))):
                     last = chain[-1]
                     yield {
                         "doc_id": int(doc[lo]), "source": int(source[lo]), "chain": k, "a_from": chain[0][0], "a_to": last[0] + last[2],
@@ -308,10 +325,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, source (an earlier document with the passage), first_word, end_word, the same in the source, matched words."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "passages")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = work.keep(rows.mapInArrow(_seeds, "seed long, doc_id long, pos int"), "seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    pairs = seeds.join(first.select("seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos")), "seed").where("doc_id <> source")
-    sorted_ = pairs.select("doc_id", "source", "pos", "source_pos").repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "pos")
+    seeds = work.keep(rows.mapInArrow(_seeds, "seed long, doc_id long, pos int, reach int"), "seeds")
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos", "reach")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    first = work.keep(first.select("seed", "first"), "first")  # a written side lets the planner split a seed that very many documents hold
+    pairs = seeds.join(first.select("seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), F.col("first.reach").alias("source_reach")), "seed").where("doc_id <> source")
+    sorted_ = pairs.select("doc_id", "source", "pos", "source_pos", F.least("reach", "source_reach").alias("reach")).repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "pos")
     found = work.keep(sorted_.mapInArrow(_chain, CHAIN), "chains")
     work.drop("seeds")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / BLOCK).cast("int"), F.floor((F.col(hi) + MARGIN) / BLOCK).cast("int"))

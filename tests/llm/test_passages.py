@@ -43,6 +43,21 @@ def test_planted_passages_are_found_and_others_left(spark):
     assert left[2]["text"].split() == texts[2].split()[:120] + texts[2].split()[180:] and left[2]["n_chars"] == len(left[2]["text"])
 
 
+def test_a_word_over_and_over_is_a_passage(spark):
+    rng = random.Random(17)
+    rows = [(k, " ".join([*prose(rng, 40), *["Thsh"] * n, *prose(rng, 40)])) for k, n in enumerate([20, 70, 90, 55, 49])]
+    got = spans(passages.repeated_passages(documents(spark, rows)))
+    assert {k: (r["first_word"], r["end_word"]) for k, r in got.items()} == {(2, 1): (40, 110), (3, 1): (40, 95)}
+
+
+def test_periodic_texts_meet_in_order(spark):
+    rng = random.Random(18)
+    period = prose(rng, 12)
+    rows = [(1, " ".join(period * 8)), (2, " ".join(period * 6)), (3, " ".join(period * 3))]
+    got = spans(passages.repeated_passages(documents(spark, rows)))
+    assert set(got) == {(2, 1)} and (got[2, 1]["first_word"], got[2, 1]["end_word"]) == (0, 72)
+
+
 def test_hot_passage_is_linear(spark):
     rng = random.Random(12)
     passage = prose(rng, 80)
@@ -98,10 +113,11 @@ def test_minimisers_guarantee_a_seed_in_each_window():
     rng = np.random.default_rng(16)
     hashes = rng.integers(0, 30, 400).astype(np.uint64)
     offsets = np.array([0, 3, 60, 60, 400])
-    _, text, pos = passages.minimisers(hashes, offsets)
+    _, text, pos, reach = passages.minimisers(hashes, offsets)
+    assert (reach >= passages.K).all()
     assert set(text.tolist()) == {1, 3}
     for t, n in ((1, 57), (3, 340)):
-        own = pos[text == t]
+        own = np.unique(pos[text == t])
         gaps = np.diff(np.concatenate([[-1], own, [n - passages.K + 1]]))
         assert gaps.max() <= passages.WINDOW + 1
 
