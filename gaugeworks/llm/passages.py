@@ -2,7 +2,10 @@
 
 1. Seeds: the minimisers (of WINDOW k-mers of K words) of every document of at least MIN_WORDS words.
 2. Join: every occurrence of a seed meets the seed's first occurrence, in its smallest doc_id. A seed that a
-   third of all documents hold costs a row for each of them, never pairs among them.
+   third of all documents hold costs a row for each of them, never pairs among them. Where a document's seeds are
+   all shared, though perhaps with other documents each, every stretch of MIN_WORDS words is a seed too: it meets
+   the first document that holds the whole stretch, so whatever repeats word for word is found. Of the runs of
+   such stretches, longest first, those stay that add K words or more to the document's others.
 3. Chain, for each (document, earlier document): seeds on a diagonal become runs; runs are chained in order in
    both documents with a cost for each word of gap, the best predecessor found in a Fenwick tree of prefix
    maxima. Chains break where a gap passes MAX_GAP words.
@@ -43,9 +46,9 @@ MATCH, MISMATCH, GAP = 1, -2, -2
 LARGEST = U(2**64 - 1)
 
 
-def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text, word position and reach of the seeds of all texts of at least `least` words. A seed that repeats at once
-    (a word over and over) is one seed that reaches over the whole run; others reach over k words."""
+def sampled(hashes: np.ndarray, offsets: np.ndarray, k: int, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text, word position and reach of the minimisers of all texts of at least `least` words. One that repeats at once
+    (a word over and over) is one that reaches over the whole run; others reach over k words."""
     values = window_hashes(hashes, k)
     counts = np.diff(offsets)
     counts = np.where(counts >= max(least, k), counts - k + 1, 0)
@@ -71,19 +74,47 @@ def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int
     chosen = np.logical_or.reduceat(chosen, runs)  # of a run, its first k-mer stands for all
     found = runs[chosen]
     reach = k - 1 + np.diff(np.append(runs, len(v)))[chosen]
+    return v[found], text[found], found - (ends - counts)[text[found]], reach
+
+
+def minimisers(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text, word position and reach of the seeds of all texts of at least `least` words."""
+    seed, text, pos, reach = sampled(hashes, offsets, k, window, least)
     # a run as long as a passage is a seed of its own kind too: its first occurrence is then as long
     long = np.flatnonzero(reach >= least)
-    seed = np.concatenate([v[found], mix(v[found[long]])])
-    found, reach = np.concatenate([found, found[long]]), np.concatenate([reach, reach[long]])
+    seed, text, pos, reach = np.concatenate([seed, mix(seed[long])]), np.append(text, text[long]), np.append(pos, pos[long]), np.append(reach, reach[long])
     # so is a seed's second, third ... occurrence in a text: periodic texts then meet in order, not all at the first period
-    order = np.lexsort((found, seed, text[found]))
-    same = np.concatenate([[False], (seed[order][1:] == seed[order][:-1]) & (text[found[order]][1:] == text[found[order]][:-1])])
+    order = np.lexsort((pos, seed, text))
+    same = np.concatenate([[False], (seed[order][1:] == seed[order][:-1]) & (text[order][1:] == text[order][:-1])])[: len(order)]
     nth = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     again, nth = order[nth > 0], nth[nth > 0]
     with np.errstate(over="ignore"):
         seed = np.concatenate([seed, mix(seed[again] + nth.astype(U) * U(0x9E3779B97F4A7C15))])
-    found, reach = np.concatenate([found, found[again]]), np.concatenate([reach, reach[again]])
-    return seed, text[found], found - (ends - counts)[text[found]], reach
+    return seed, np.append(text, text[again]), np.append(pos, pos[again]), np.append(reach, reach[again])
+
+
+def stretches(hashes: np.ndarray, offsets: np.ndarray, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text and word position of the stretches of MIN_WORDS words that another text may hold: those without a seed that
+    `shared` denies. Only seeds that are chosen whatever stands around the stretch count against it."""
+    seed, text, pos, reach = sampled(hashes, offsets, K, WINDOW, MIN_WORDS)
+    alone = ~shared(seed)
+    text, pos, reach = text[alone], pos[alone], reach[alone]
+    count = np.maximum(np.diff(offsets) - MIN_WORDS + 1, 0)
+    lo = np.maximum(pos + reach - (MIN_WORDS - WINDOW + 1), 0)
+    hi = np.minimum(pos - (WINDOW - 1) + 1, count[text])
+    ok = lo < hi
+    barred = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(barred, lo[ok] + offsets[text[ok]], 1)
+    np.add.at(barred, hi[ok] + offsets[text[ok]], -1)
+    at = ranges(offsets[:-1], count)
+    values, of = window_hashes(hashes, MIN_WORDS), np.repeat(np.arange(len(count)), count)
+    # in a run of one word, the first stretch stands for all
+    fresh = np.concatenate([[True], (values[at[1:]] != values[at[:-1]]) | (of[1:] != of[:-1])])[: len(at)]
+    keep = (np.cumsum(barred)[at] == 0) & fresh
+    return values[at[keep]], of[keep], at[keep] - offsets[:-1][of[keep]]
+
+
+SEED = "seed long, doc_id long, pos int, reach int"
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +126,19 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(reach, pa.int32())})
 
 
+def _stretches(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = bloom.Bloom(bits.value)
+        for batch in batches:
+            doc_ids = batch.column("doc_id").cast(pa.int64())
+            for at, some in pieces(texts_of(batch.column("text"))):
+                hashes, _, _, offsets = words(some)
+                seed, text, pos = stretches(hashes, offsets, shared.has)
+                yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(np.full(len(pos), MIN_WORDS), pa.int32())})
+
+    return run
+
+
 class Fenwick:
     """Prefix maxima of (score, index) over ranks 0 .. n - 1."""
 
@@ -170,6 +214,48 @@ def chains(runs: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, i
     return [[r[:3] for r in part] for part in out if sum(r[3] for r in part) >= SEEDED]
 
 
+MEETING = "doc_id long, source long, pos int, source_pos int, reach int"
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches, sorted by doc_id, as runs on diagonals; a document's stretches may span batches."""
+    names = [x.split()[0] for x in MEETING.split(", ")]
+
+    def rows(doc: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((a, b - a, source, doc))
+        doc, source, a, b, reach = doc[order], source[order], a[order], b[order], reach[order]
+        new = (np.diff(doc) != 0) | (np.diff(source) != 0) | (np.diff(b - a) != 0) | (a[1:] > a[:-1] + reach[:-1])
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        length = np.maximum.reduceat(a + reach, first) - a[first]
+        doc, source, a, b = doc[first], source[first], a[first], b[first]
+        keep = np.ones(len(doc), bool)
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
+            if hi - lo > 1:
+                low = a[lo:hi].min()
+                held = np.zeros((a[lo:hi] + length[lo:hi]).max() - low, bool)
+                for i in (lo + np.lexsort((a[lo:hi], source[lo:hi], -length[lo:hi]))).tolist():
+                    own = held[a[i] - low : a[i] - low + length[i]]
+                    keep[i] = len(own) - own.sum() >= K
+                    own[:] |= keep[i]
+        columns = [x[keep] for x in (doc, source, a, b, length)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 2 else pa.int32()) for k, x in enumerate(columns)], names)
+
+    held = None
+    for batch in batches:
+        columns = [batch.column(n).to_numpy().astype(np.int64) for n in names]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield from rows(*[x[:cut] for x in columns])
+        held = [x[cut:] for x in columns]
+    if held is not None and len(held[0]):
+        yield from rows(*held)
+
+
 CHAIN = "doc_id long, source long, chain long, a_from int, a_to int, b_from int, b_to int, runs binary"
 
 
@@ -325,13 +411,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, source (an earlier document with the passage), first_word, end_word, the same in the source, matched words."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "passages")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = work.keep(rows.mapInArrow(_seeds, "seed long, doc_id long, pos int, reach int"), "seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos", "reach")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    first = work.keep(first.select("seed", "first"), "first")  # a written side lets the planner split a seed that very many documents hold
-    pairs = seeds.join(first.select("seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), F.col("first.reach").alias("source_reach")), "seed").where("doc_id <> source")
-    sorted_ = pairs.select("doc_id", "source", "pos", "source_pos", F.least("reach", "source_reach").alias("reach")).repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "pos")
+
+    def firsts(seeds: DataFrame, name: str) -> DataFrame:
+        """The first occurrence of each seed that several documents hold."""
+        first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos", "reach")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+        return work.keep(first.select("seed", "first"), name)  # a written side lets the planner split a seed that very many documents hold
+
+    def meetings(seeds: DataFrame, first: DataFrame) -> DataFrame:
+        pairs = seeds.join(first.select("seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), F.col("first.reach").alias("source_reach")), "seed").where("doc_id <> source")
+        return pairs.select("doc_id", "source", "pos", "source_pos", F.least("reach", "source_reach").alias("reach"))
+
+    seeds = work.keep(rows.mapInArrow(_seeds, SEED), "seeds")
+    first = firsts(seeds, "first")
+    shared = spark.sparkContext.broadcast(bloom.build(first, "seed").bits)
+    whole = work.keep(rows.mapInArrow(_stretches(shared), SEED), "stretches")
+    longer = meetings(whole, firsts(whole, "first_stretches")).repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_thin, MEETING)
+    pairs = meetings(seeds, first).unionByName(longer)
+    sorted_ = pairs.repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "pos")
     found = work.keep(sorted_.mapInArrow(_chain, CHAIN), "chains")
     work.drop("seeds")
+    work.drop("stretches")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / BLOCK).cast("int"), F.floor((F.col(hi) + MARGIN) / BLOCK).cast("int"))
     asked = found.select("doc_id", "source", "chain", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("holder"), span("a_from", "a_to").alias("blocks")), F.struct(F.lit(1).alias("side"), F.col("source").alias("holder"), span("b_from", "b_to").alias("blocks")))).alias("s"))
     asked = asked.select("doc_id", "source", "chain", "s.side", "s.holder", F.explode("s.blocks").alias("block"))

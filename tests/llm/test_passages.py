@@ -125,3 +125,18 @@ def test_minimisers_guarantee_a_seed_in_each_window():
 def test_cut_words():
     assert passages.cut_words("Ab, cd! Ef (gh) ij.", [(1, 3)]) == "Ab, gh) ij."
     assert passages.cut_words("a b c", [(0, 3)]) == "" and passages.cut_words("a b c", [(0, 1), (0, 2)]) == "c"
+
+
+def test_fragments_in_earlier_documents_hide_no_passage(spark):
+    """What documents 3 and 4 share stands in fragments, that overlap or not, in documents before, between."""
+    rng = random.Random(19)
+    rows, want = [], set()
+    for case, (n, cuts) in enumerate([(60, [(0, 30), (30, 60)]), (60, [(0, 45), (15, 60)]), (52, [(0, 49), (3, 52)]), (50, [(0, 40), (10, 50)]), (96, [(0, 48), (48, 96), (24, 72)])] * 4):
+        passage, at = prose(rng, n), case * 10
+        for k, (lo, hi) in enumerate(cuts):
+            rows.append((at + k, " ".join(prose(rng, 30) + passage[lo:hi] + prose(rng, 30))))
+        rows += [(at + k, " ".join(prose(rng, 40) + passage + prose(rng, 40))) for k in (5, 9)]
+        rows += [(at + 6 + k, " ".join(prose(rng, 30) + passage[lo:hi] + prose(rng, 30))) for k, (lo, hi) in enumerate(cuts)]
+        want.add((at + 9, at + 5, 40, 40 + n))
+    got = {(r["doc_id"], r["source"], r["first_word"], r["end_word"]) for r in rows_of(passages.repeated_passages(documents(spark, rows)))}
+    assert want == got
