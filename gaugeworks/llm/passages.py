@@ -11,7 +11,8 @@
    maxima. Chains break where a gap passes MAX_GAP words.
 4. Align: the chain's words in both documents are fetched by blocks of BLOCK words with a margin on each side.
    Runs are compared word by word, gaps by edit distance, and both ends are extended by alignment as long as
-   the score grows. A passage has at least MIN_WORDS words, IDENTITY of them matched.
+   the score grows. A passage has at least MIN_WORDS words, IDENTITY of them matched: the whole chain, or else the
+   parts of it with the most matches that have.
 
 The passage counts as a repeat in the later document; its first holder keeps it. Passages within one document
 alone are no repeats. Words fold case and drop punctuation.
@@ -370,16 +371,65 @@ def matched(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """The passage around a chain: from and to in a, from and to in b, matched words."""
-    hits, (at_a, at_b) = 0, runs[0][:2]
+def exact_parts(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> list[tuple[int, int, int, int, int]]:
+    """Maximal equal stretches of two sequences of one length that begin at these words."""
+    bounds = np.flatnonzero(np.diff(np.concatenate([[False], a == b, [False]]).astype(np.int8))).reshape(-1, 2)
+    return [(at_a + lo, at_a + hi, at_b + lo, at_b + hi, hi - lo) for lo, hi in bounds.tolist()]
+
+
+def extension(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The parts by which both sequences go on alike from their beginnings."""
+    more_a, more_b, hits = extend(a, b)
+    if more_a == more_b and (parts := exact_parts(a[:more_a], b[:more_b], 0, 0)) and sum(p[4] for p in parts) >= hits:
+        return parts
+    n = min(more_a, more_b)
+    same = a[:n] == b[:n]
+    exact = n if same.all() else int(same.argmin())
+    return [(0, exact, 0, exact, exact)] * (exact > 0) + [(exact, more_a, exact, more_b, hits - exact)] * (hits > exact)
+
+
+def parts_of(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A chain and its surroundings in parts, in order: from and to in a, from and to in b, matched words; and the words
+    that match between each part and the next."""
+    (x, y, _), (u, v, n) = runs[0], runs[-1]
+    parts = [(x - a1, x - a0, y - b1, y - b0, hits) for a0, a1, b0, b1, hits in reversed(extension(a[:x][::-1], b[:y][::-1]))]
+    between, at_a, at_b = [0] * len(parts), x, y
     for x, y, length in runs:
-        hits += matched(a[at_a:x], b[at_b:y])
-        hits += int((a[x : x + length] == b[y : y + length]).sum())
+        if between:
+            between[-1] += matched(a[at_a:x], b[at_b:y])
+        own = exact_parts(a[x : x + length], b[y : y + length], x, y)
+        parts += own
+        between += [0] * len(own)
         at_a, at_b = x + length, y + length
-    more_a, more_b, more = extend(a[at_a:], b[at_b:])
-    less_a, less_b, less = extend(a[: runs[0][0]][::-1], b[: runs[0][1]][::-1])
-    return runs[0][0] - less_a, at_a + more_a, runs[0][1] - less_b, at_b + more_b, hits + more + less
+    u, v = u + n, v + n
+    parts += [(u + a0, u + a1, v + b0, v + b1, hits) for a0, a1, b0, b1, hits in extension(a[u:], b[v:])]
+    return np.array(parts, np.int64).reshape(-1, 5), np.array((between + [0] * len(parts))[: len(parts)], np.int64)
+
+
+def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The passages around a chain: from and to in a, from and to in b, matched words. The whole chain if it is alike enough,
+    else the part of it with the most matches that is, and the same again on both sides of that part."""
+    parts, between = parts_of(a, b, runs)
+    hits, gaps = np.append(0, np.cumsum(parts[:, 4])), np.append(0, np.cumsum(between))
+    out, todo = [], [(0, len(parts))]
+    while todo:
+        lo, hi = todo.pop()
+        if hits[hi] - hits[lo] + gaps[hi] - gaps[lo] < IDENTITY * MIN_WORDS or parts[hi - 1, 1] - parts[lo, 0] < MIN_WORDS:
+            continue
+        best, where = 0, None
+        for i in range(lo, hi):
+            if hits[hi] - hits[i] + gaps[hi] - gaps[i] <= best:
+                break
+            score = hits[i + 1 : hi + 1] - hits[i] + gaps[i:hi] - gaps[i]
+            words_a, words_b = parts[i:hi, 1] - parts[i, 0], parts[i:hi, 3] - parts[i, 2]
+            score = np.where((words_a >= MIN_WORDS) & (score >= IDENTITY * np.maximum(words_a, words_b)), score, 0)
+            if score.max() > best:
+                best, where = int(score.max()), (i, i + int(score.argmax()))
+        if where:
+            i, j = where
+            out.append((int(parts[i, 0]), int(parts[j, 1]), int(parts[i, 2]), int(parts[j, 3]), best))
+            todo += [(lo, i), (j + 1, hi)]
+    return out
 
 
 PASSAGE = "doc_id long, source long, first_word long, end_word long, source_first_word long, source_end_word long, matched long"
@@ -400,8 +450,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words_of.append(np.frombuffer(b"".join(blocks[k] for k in numbers), U))
                 firsts.append(numbers[0] * BLOCK)
             runs = [(int(x) - firsts[0], int(y) - firsts[1], int(n)) for x, y, n in np.frombuffer(r["runs"], np.int32).reshape(-1, 3)]
-            a0, a1, b0, b1, hits = align(*words_of, runs)
-            if a1 - a0 >= MIN_WORDS and hits >= IDENTITY * max(a1 - a0, b1 - b0):
+            for a0, a1, b0, b1, hits in align(*words_of, runs):
                 out.append({"doc_id": r["doc_id"], "source": r["source"], "first_word": a0 + firsts[0], "end_word": a1 + firsts[0], "source_first_word": b0 + firsts[1], "source_end_word": b1 + firsts[1], "matched": hits})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(x.split()[0], pa.int64()) for x in PASSAGE.split(", ")]))

@@ -140,3 +140,28 @@ def test_fragments_in_earlier_documents_hide_no_passage(spark):
         want.add((at + 9, at + 5, 40, 40 + n))
     got = {(r["doc_id"], r["source"], r["first_word"], r["end_word"]) for r in rows_of(passages.repeated_passages(documents(spark, rows)))}
     assert want == got
+
+
+def test_a_fragment_across_a_differing_stretch_hides_no_passage(spark):
+    rng = random.Random(20)
+    rows, want = [], set()
+    for case, (n, differ, more) in enumerate([(52, 20, 17), (55, 22, 12), (60, 25, 20), (60, 25, 10)] * 5):
+        first, last = prose(rng, n), prose(rng, more)
+        if case % 2:  # the fragment before the passage
+            texts = [[*prose(rng, 30), *last, *prose(rng, differ), *first, *prose(rng, 30)] for _ in range(2)]
+        else:
+            texts = [[*prose(rng, 30), *first, *prose(rng, differ), *last, *prose(rng, 30)] for _ in range(2)]
+        rows += [(2 * case + k, " ".join(t)) for k, t in enumerate(texts)]
+        at = 30 + (more + differ) * (case % 2)
+        want.add((2 * case + 1, 2 * case, at, at + n))
+    got = {(r["doc_id"], r["source"], r["first_word"], r["end_word"]) for r in rows_of(passages.repeated_passages(documents(spark, rows)))}
+    assert {(d, s) for d, s, _, _ in want} == {(d, s) for d, s, _, _ in got}
+    assert all(any(g[:2] == w[:2] and g[2] <= w[2] and w[3] <= g[3] for g in got) for w in want)
+
+
+def test_parts_of_a_failing_chain():
+    a, b = np.arange(300, dtype=np.uint64), np.arange(300, dtype=np.uint64)
+    b[60:90] += np.uint64(1000)
+    b[160:200] += np.uint64(1000)
+    assert sorted(passages.align(a, b, [(10, 10, 280)])) == [(0, 60, 0, 60, 60), (90, 300, 90, 300, 170)]
+    assert passages.align(a, a, [(100, 100, 20)]) == [(0, 300, 0, 300, 300)]
