@@ -37,12 +37,14 @@ from gaugeworks.llm import bloom
 from gaugeworks.llm.words import U, mix, pieces, ranges, texts_of, window_hashes, words
 from gaugeworks.llm.workspace import Workspace
 
-K, WINDOW = 6, 12
+K, WINDOW = 5, 6
 MIN_WORDS, IDENTITY = 50, 0.8
 MAX_GAP, GAP_COST = 32, 0.25
 MARGIN, BLOCK = 64, 128
+#: Differing words in a row that may stand just before the end of a passage.
+EDGE = 3
 #: A chain needs this many words in seeds to be aligned.
-SEEDED = K + 2
+SEEDED = K
 MATCH, MISMATCH, GAP = 1, -2, -2
 LARGEST = U(2**64 - 1)
 
@@ -127,15 +129,20 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(reach, pa.int32())})
 
 
-def _stretches(bits):
+def _shared(bits):
+    """Seeds that several documents may hold, and the whole stretches between them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = bloom.Bloom(bits.value)
         for batch in batches:
             doc_ids = batch.column("doc_id").cast(pa.int64())
             for at, some in pieces(texts_of(batch.column("text"))):
                 hashes, _, _, offsets = words(some)
-                seed, text, pos = stretches(hashes, offsets, shared.has)
-                yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(np.full(len(pos), MIN_WORDS), pa.int32())})
+                seed, text, pos, reach = minimisers(hashes, offsets)
+                ok = shared.has(seed)
+                found = [(seed[ok], text[ok], pos[ok], reach[ok]), (*(x := stretches(hashes, offsets, shared.has)), np.full(len(x[0]), MIN_WORDS))]
+                for whole, (seed, text, pos, reach) in enumerate(found):
+                    yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": doc_ids.take(pa.array(text + at)), "pos": pa.array(pos, pa.int32()), "reach": pa.array(reach, pa.int32()), "whole": pa.array(np.full(len(seed), whole == 1))})
 
     return run
 
@@ -222,7 +229,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches, sorted by doc_id, as runs on diagonals; a document's stretches may span batches."""
     names = [x.split()[0] for x in MEETING.split(", ")]
 
-    def rows(doc: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, source, a, b, reach = columns
         order = np.lexsort((a, b - a, source, doc))
         doc, source, a, b, reach = doc[order], source[order], a[order], b[order], reach[order]
         new = (np.diff(doc) != 0) | (np.diff(source) != 0) | (np.diff(b - a) != 0) | (a[1:] > a[:-1] + reach[:-1])
@@ -242,19 +250,7 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x[keep] for x in (doc, source, a, b, length)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 2 else pa.int32()) for k, x in enumerate(columns)], names)
 
-    held = None
-    for batch in batches:
-        columns = [batch.column(n).to_numpy().astype(np.int64) for n in names]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            yield from rows(*[x[:cut] for x in columns])
-        held = [x[cut:] for x in columns]
-    if held is not None and len(held[0]):
-        yield from rows(*held)
+    yield from by_document(batches, names, rows)
 
 
 CHAIN = "doc_id long, source long, chain long, a_from int, a_to int, b_from int, b_to int, runs binary"
@@ -406,33 +402,93 @@ def parts_of(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) ->
     return np.array(parts, np.int64).reshape(-1, 5), np.array((between + [0] * len(parts))[: len(parts)], np.int64)
 
 
-def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """The passages around a chain: from and to in a, from and to in b, matched words. The whole chain if it is alike enough,
-    else the part of it with the most matches that is, and the same again on both sides of that part."""
-    parts, between = parts_of(a, b, runs)
+def alike(parts: np.ndarray, between: np.ndarray, shortest: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """The stretches of parts that have MIN_WORDS words, IDENTITY of them matched: the one with the most matches (or the
+    fewest words), and the same again on both sides of it."""
     hits, gaps = np.append(0, np.cumsum(parts[:, 4])), np.append(0, np.cumsum(between))
     out, todo = [], [(0, len(parts))]
     while todo:
         lo, hi = todo.pop()
         if hits[hi] - hits[lo] + gaps[hi] - gaps[lo] < IDENTITY * MIN_WORDS or parts[hi - 1, 1] - parts[lo, 0] < MIN_WORDS:
             continue
-        best, where = 0, None
+        best, found = 0, None
         for i in range(lo, hi):
-            if hits[hi] - hits[i] + gaps[hi] - gaps[i] <= best:
+            if hits[hi] - hits[i] + gaps[hi] - gaps[i] <= (0 if shortest else best):
                 break
-            score = hits[i + 1 : hi + 1] - hits[i] + gaps[i:hi] - gaps[i]
+            same = hits[i + 1 : hi + 1] - hits[i] + gaps[i:hi] - gaps[i]
             words_a, words_b = parts[i:hi, 1] - parts[i, 0], parts[i:hi, 3] - parts[i, 2]
-            score = np.where((words_a >= MIN_WORDS) & (score >= IDENTITY * np.maximum(words_a, words_b)), score, 0)
+            ok = (words_a >= MIN_WORDS) & (same >= IDENTITY * np.maximum(words_a, words_b))
+            score = np.where(ok, 1 / words_a if shortest else same, 0)
             if score.max() > best:
-                best, where = int(score.max()), (i, i + int(score.argmax()))
-        if where:
-            i, j = where
-            out.append((int(parts[i, 0]), int(parts[j, 1]), int(parts[i, 2]), int(parts[j, 3]), best))
+                j = int(score.argmax())
+                best, found = score[j], (i, i + j, int(same[j]))
+        if found:
+            i, j, same = found
+            out.append((int(parts[i, 0]), int(parts[j, 1]), int(parts[i, 2]), int(parts[j, 3]), same))
             todo += [(lo, i), (j + 1, hi)]
     return out
 
 
+def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The passages around a chain: from and to in a, from and to in b, matched words. The whole chain if it is alike enough,
+    else parts of it. A chain that has too few words is looked at with equal words that stand beyond its ends, where an
+    edit just before the end of a passage stopped the extension."""
+    parts, between = parts_of(a, b, runs)
+    if not len(parts) or (found := alike(parts, between)):
+        return found if len(parts) else []
+    (x, y), (u, v) = parts[0, [0, 2]].tolist(), parts[-1, [1, 3]].tolist()
+    n, m = min(x, y, MIN_WORDS), min(len(a) - u, len(b) - v, MIN_WORDS)
+    before, after = exact_parts(a[x - n : x], b[y - n : y], x - n, y - n), exact_parts(a[u : u + m], b[v : v + m], u, v)
+    ends = np.array([x, *[p[0] for p in before[::-1]]]) - np.array([*[p[1] for p in before[::-1]], x - n])
+    before = before[max(0, len(before) - int((ends > EDGE).argmax())) :] if (ends > EDGE).any() else before
+    ends = np.array([*[p[0] for p in after], u + m]) - np.array([u, *[p[1] for p in after]])
+    after = after[: int((ends > EDGE).argmax())] if (ends > EDGE).any() else after
+    wider = np.concatenate([np.array(p, np.int64).reshape(-1, 5) for p in (before, parts, after)])
+    return alike(wider, np.concatenate([np.zeros(len(before), np.int64), between, np.zeros(len(after), np.int64)]), shortest=True)[:1]
+
+
 PASSAGE = "doc_id long, source long, first_word long, end_word long, source_first_word long, source_end_word long, matched long"
+#: sure: whether the chain had seeds of more than a word's chance beside a passage of another source.
+ALIGNED = PASSAGE + ", sure long"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages, sorted by doc_id, without the unsure ones that add fewer than K words to the document's others."""
+    names = [x.split()[0] for x in ALIGNED.split(", ")]
+
+    def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, source, first, end = columns[:4]
+        sure = columns[-1] > 0
+        keep = sure.copy()
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
+            if not sure[lo:hi].all():
+                low = first[lo:hi].min()
+                held = np.zeros(end[lo:hi].max() - low, bool)
+                for i in (lo + np.lexsort((first[lo:hi], source[lo:hi], first[lo:hi] - end[lo:hi], ~sure[lo:hi]))).tolist():
+                    own = held[first[i] - low : end[i] - low]
+                    keep[i] |= len(own) - own.sum() >= K
+                    own[:] |= keep[i]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in columns[:-1]], names[:-1])
+
+    yield from by_document(batches, names, rows)
+
+
+def by_document(batches: Iterator[pa.RecordBatch], names: list[str], rows) -> Iterator[pa.RecordBatch]:
+    """rows(columns) of whole documents; the rows of a document, the first column, may span batches."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [batch.column(n).to_numpy().astype(np.int64) for n in names]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield from rows([x[:cut] for x in columns])
+        held = [x[cut:] for x in columns]
+    if held is not None and len(held[0]):
+        yield from rows(held)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,9 +507,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 firsts.append(numbers[0] * BLOCK)
             runs = [(int(x) - firsts[0], int(y) - firsts[1], int(n)) for x, y, n in np.frombuffer(r["runs"], np.int32).reshape(-1, 3)]
             for a0, a1, b0, b1, hits in align(*words_of, runs):
-                out.append({"doc_id": r["doc_id"], "source": r["source"], "first_word": a0 + firsts[0], "end_word": a1 + firsts[0], "source_first_word": b0 + firsts[1], "source_end_word": b1 + firsts[1], "matched": hits})
+                out.append({"doc_id": r["doc_id"], "source": r["source"], "first_word": a0 + firsts[0], "end_word": a1 + firsts[0], "source_first_word": b0 + firsts[1], "source_end_word": b1 + firsts[1], "matched": hits, "sure": int(sum(r[2] for r in runs) >= K + 2)})
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(x.split()[0], pa.int64()) for x in PASSAGE.split(", ")]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(x.split()[0], pa.int64()) for x in ALIGNED.split(", ")]))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -470,16 +526,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         pairs = seeds.join(first.select("seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"), F.col("first.reach").alias("source_reach")), "seed").where("doc_id <> source")
         return pairs.select("doc_id", "source", "pos", "source_pos", F.least("reach", "source_reach").alias("reach"))
 
-    seeds = work.keep(rows.mapInArrow(_seeds, SEED), "seeds")
-    first = firsts(seeds, "first")
-    shared = spark.sparkContext.broadcast(bloom.build(first, "seed").bits)
-    whole = work.keep(rows.mapInArrow(_stretches(shared), SEED), "stretches")
+    first = firsts(rows.mapInArrow(_seeds, SEED), "first")
+    bits = spark.sparkContext.broadcast(bloom.build(first, "seed").bits)
+    both = work.keep(rows.mapInArrow(_shared(bits), SEED + ", whole boolean"), "shared")
+    seeds, whole = both.where("not whole").drop("whole"), both.where("whole").drop("whole")
     longer = meetings(whole, firsts(whole, "first_stretches")).repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_thin, MEETING)
+    longer = work.keep(longer, "longer")
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffles of what is written
     pairs = meetings(seeds, first).unionByName(longer)
     sorted_ = pairs.repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "pos")
     found = work.keep(sorted_.mapInArrow(_chain, CHAIN), "chains")
-    work.drop("seeds")
-    work.drop("stretches")
+    work.drop("shared")
     span = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / BLOCK).cast("int"), F.floor((F.col(hi) + MARGIN) / BLOCK).cast("int"))
     asked = found.select("doc_id", "source", "chain", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("holder"), span("a_from", "a_to").alias("blocks")), F.struct(F.lit(1).alias("side"), F.col("source").alias("holder"), span("b_from", "b_to").alias("blocks")))).alias("s"))
     asked = asked.select("doc_id", "source", "chain", "s.side", "s.holder", F.explode("s.blocks").alias("block"))
@@ -489,7 +546,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     given = asked.join(blocks, ["holder", "block"])
     parts = given.groupBy("doc_id", "source", "chain").agg(F.collect_list(F.struct("side", "block", "payload")).alias("parts"))
     whole = parts.join(found.select("doc_id", "source", "chain", "runs"), ["doc_id", "source", "chain"])
-    return whole.select("doc_id", "source", "runs", "parts").mapInArrow(_align, PASSAGE)
+    aligned = whole.select("doc_id", "source", "runs", "parts").mapInArrow(_align, ALIGNED)
+    return aligned.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_told, PASSAGE)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -165,3 +165,31 @@ def test_parts_of_a_failing_chain():
     b[160:200] += np.uint64(1000)
     assert sorted(passages.align(a, b, [(10, 10, 280)])) == [(0, 60, 0, 60, 60), (90, 300, 90, 300, 170)]
     assert passages.align(a, a, [(100, 100, 20)]) == [(0, 300, 0, 300, 300)]
+
+
+def recall(n, edits, kinds, trials=100):
+    """Share of randomly edited copies of n words, their first and last word left, that are found; kinds of edits: 0 other
+    word, 1 word gone, 2 word added."""
+    rng = np.random.default_rng([24, n, int(100 * edits), len(kinds)])
+    fresh = lambda k: rng.integers(1, 2**62, k).astype(np.uint64)
+    found = 0
+    for _ in range(trials):
+        original = fresh(n)
+        copy = original.tolist()
+        for at in sorted((1 + rng.choice(n - 2, int(edits * n), replace=False)).tolist(), reverse=True):
+            kind = kinds[int(rng.integers(len(kinds)))]
+            copy[at : at + (kind != 2)] = fresh(1).tolist() if kind != 1 else []
+        texts = [np.concatenate([fresh(80), np.array(x, np.uint64), fresh(90)]) for x in (original, copy)]
+        seed, text, pos, reach = passages.minimisers(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        first = {h: k for k, h in reversed(list(enumerate(seed.tolist()))) if text[k] == 0}
+        met = [(pos[k], pos[first[h]], min(reach[k], reach[first[h]])) for k, h in enumerate(seed.tolist()) if text[k] == 1 and h in first]
+        chains = passages.chains(passages.runs_of(*map(np.array, zip(*met)))) if met else []
+        found += any(passages.align(texts[1], texts[0], chain) for chain in chains)
+    return found / trials
+
+
+def test_recall_of_edited_copies():
+    for n, edits in ((50, 0.1), (50, 0.15), (50, 0.2), (60, 0.15), (60, 0.19), (100, 0.19)):
+        assert recall(n, edits, [0]) >= 0.97
+    for n, edits in ((60, 0.1), (100, 0.1), (100, 0.15)):
+        assert recall(n, edits, [0, 1, 2]) >= 0.9, (n, edits, recall(n, edits, [0, 1, 2]))
