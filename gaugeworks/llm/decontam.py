@@ -1,8 +1,8 @@
 """Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit check.
 
 Items are classed by length: class (m, s) has windows of m words at every s-th word of a document, with m
-from 3, 6, 12, ... and s = m / 3, and takes the items of at least m + s - 1 words (fewer than the next class),
-so any place where an item stands whole holds a window. Every window of an item, at every word, is embedded
+from 3, 6, 12, 24 and s = m / 3, and takes the items of at least m + s - 1 words (fewer than the next class; the last
+takes all longer ones, which hold several windows), so any place where an item stands whole holds a window. Every window of an item, at every word, is embedded
 too, so a document's window meets the item's window that begins at the same word.
 
 The CGK random walk maps word edit distance to Hamming distance: at step t it emits the word under the
@@ -35,8 +35,8 @@ from gaugeworks.llm.words import U, mix, pieces, ranges, texts_of, words
 from gaugeworks.llm.workspace import Workspace
 
 MAX_EDITS = 0.2
-REPETITIONS, SAMPLED = 12, 4
-SMALLEST = 3
+REPETITIONS, SAMPLED = 20, 4
+SMALLEST, WIDEST = 3, 24
 SEED = 7
 PAD = U(0x5DEECE66D)
 
@@ -44,14 +44,14 @@ PAD = U(0x5DEECE66D)
 def window_class(n: int) -> tuple[int, int] | None:
     """(m, s) of an item of n words."""
     m, found = SMALLEST, None
-    while n >= m + max(1, m // 3) - 1:
+    while m <= WIDEST and n >= m + max(1, m // 3) - 1:
         found, m = (m, max(1, m // 3)), m * 2
     return found
 
 
-def longest_item(m: int) -> int:
+def longest_item(m: int) -> float:
     """Most words of an item in class m."""
-    return 2 * m + max(1, 2 * m // 3) - 2
+    return math.inf if m == WIDEST else 2 * m + max(1, 2 * m // 3) - 2
 
 
 def walk_plan(m: int, repetition: int) -> tuple[np.ndarray, list[int]]:
@@ -101,8 +101,8 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id").cast(pa.int64()), "item": pa.array(own, pa.binary())})
 
 
-def _windows(sizes: list[int], bits):
-    """Windows whose key may be an item's: doc_id, size, start, from (first word of context), context, keys."""
+def _windows(sizes: list[int], most: int, bits):
+    """most: words of the longest item. Windows whose key may be an item's: doc_id, size, start, from (first word of context), context, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.Bloom(bits.value)
@@ -130,7 +130,7 @@ def _windows(sizes: list[int], bits):
                     where, got = where[order], got[order]
                     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
                     window = where[first]
-                    longest = longest_item(m)
+                    longest = int(min(longest_item(m), most))
                     slack = math.ceil(MAX_EDITS * longest) + 1
                     lo = np.maximum(starts[window] - (longest - m) - slack, offsets[:-1][doc[window]])
                     hi = np.minimum(starts[window] + longest + slack, offsets[1:][doc[window]])
@@ -207,14 +207,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = work.keep(items.mapInArrow(_item_words, "item_id long, item binary").groupBy("item").agg(F.min("item_id").alias("item_id")), "items")
     keys = work.keep(items.join(own.select("item_id"), "item_id").dropDuplicates(["item_id"]).mapInArrow(_item_keys, "key long, item_id long, size int, start int"), "keys")
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # one for each power of two of the lengths
+    most = own.agg(F.max(F.length("item"))).first()[0] or 0
     bits = spark.sparkContext.broadcast(bloom.build(keys, "key").bits)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_windows(sizes, bits), "doc_id long, size int, start long, from long, context binary, keys array<long>")
+    found = rows.mapInArrow(_windows(sizes, most // 8, bits), "doc_id long, size int, start long, from long, context binary, keys array<long>")
     found = work.keep(found, "windows")
-    hits = found.select("*", F.explode("keys").alias("key")).drop("keys").join(keys.select("key", "item_id", F.col("start").alias("item_start")), "key")
+    hits = found.select("doc_id", "size", "start", F.explode("keys").alias("key")).join(keys.select("key", "item_id", F.col("start").alias("item_start")), "key")
     # one candidate for each place: windows of the same stretch say the same
     place = F.floor((F.col("start") - F.col("item_start")) / F.greatest(F.col("size"), F.lit(1)))
-    candidates = hits.groupBy("doc_id", "item_id", place.alias("place")).agg(F.min(F.struct("from", "context")).alias("c")).select("doc_id", "item_id", "c.from", "c.context")
+    places = hits.groupBy("doc_id", "item_id", "size", place.alias("place")).agg(F.min("start").alias("start"))
+    candidates = places.join(found.drop("keys"), ["doc_id", "size", "start"]).select("doc_id", "item_id", "from", "context")
     checked = candidates.join(own, "item_id").mapInArrow(_verify, "doc_id long, item_id long, first_word long, end_word long, edits long, item_words long")
     best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "end_word", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.first_word", "best.end_word", "best.edits", "best.item_words")

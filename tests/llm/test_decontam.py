@@ -74,3 +74,24 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got] == [(1, 3, 0)]
     assert decontam.contaminated(documents(spark, []), bench(spark, items)).count() == 0
     assert decontam.contaminated(df, bench(spark, [])).count() == 0
+
+
+def test_recall_at_class_borders_and_of_long_items():
+    rng = np.random.default_rng(25)
+    for n, trials in ((7, 40), (8, 40), (14, 40), (15, 40), (31, 20), (63, 20), (127, 10), (255, 5), (511, 3)):
+        items = [rng.integers(1, 2**62, n).astype(np.uint64) for _ in range(5)]
+        assert decontam.expected_recall(items, decontam.MAX_EDITS, trials) >= 0.9, n
+
+
+def test_long_edited_items_are_found(spark):
+    rng = random.Random(26)
+    items = [(k, prose(rng, n)) for k, n in enumerate([63, 70, 127, 255, 400])]
+    rows = []
+    for k, item in items:
+        copy = list(item)
+        for at in rng.sample(range(len(item)), int(0.19 * len(item))):
+            copy[at] = "other"
+        rows.append((k, " ".join(prose(rng, 90) + copy + prose(rng, 200))))
+    got = rows_of(decontam.contaminated(documents(spark, rows), bench(spark, [(k, " ".join(item)) for k, item in items])))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k, _ in items]
+    assert all(abs(r["first_word"] - 90) <= 3 and r["edits"] <= 0.2 * r["item_words"] for r in got)
