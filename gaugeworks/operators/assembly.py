@@ -94,12 +94,18 @@ def instance_hits(pred: DataFrame, true: DataFrame) -> DataFrame:
     return rows.select("case", "hits", "precision", "recall", F.when(c("precision") + c("recall") > 0, 2 * c("precision") * c("recall") / (c("precision") + c("recall"))).otherwise(0.0).alias("f1"))
 
 
-def distance_spectrum(pred: DataFrame, true: DataFrame, most: float) -> DataFrame:
-    """Agreement of sorted centroid distances by unordered pair of types, missing ones counting 0. Points: case, id, kind, x, y, z."""
+def distance_spectrum(pred: DataFrame, true: DataFrame, most: float | None = None) -> DataFrame:
+    """Agreement of sorted centroid distances by unordered pair of types, missing ones counting 0: of all pairs of a case, or
+    of those within `most`. Points: case, id, kind, x, y, z."""
     from pyspark.sql import Window
 
+    def all_pairs(points: DataFrame) -> DataFrame:
+        side = lambda n: points.select("case", c("id").alias(n), *[c(k).alias(n + k) for k in "xyz"])
+        square = lambda k: (c(f"a{k}") - c(f"b{k}")) * (c(f"a{k}") - c(f"b{k}"))
+        return side("a").join(side("b"), "case").where("a < b").select("case", "a", "b", F.sqrt(square("x") + square("y") + square("z")).alias("distance"))
+
     def sorted_gaps(points: DataFrame, name: str) -> DataFrame:
-        near = G.centroid_pairs(points, "case", most)
+        near = G.centroid_pairs(points, "case", most) if most is not None else all_pairs(points)
         kind = points.select("case", "id", "kind")
         rows = near.join(kind.select("case", c("id").alias("a"), c("kind").alias("ka")), ["case", "a"]).join(kind.select("case", c("id").alias("b"), c("kind").alias("kb")), ["case", "b"])
         rows = rows.select("case", F.least("ka", "kb").alias("k1"), F.greatest("ka", "kb").alias("k2"), c("distance").alias(name))

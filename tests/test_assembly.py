@@ -122,3 +122,9 @@ def test_bytes_and_escapes(spark):
     assert X.malformed(b'{"a": "' + b"[" * 500 + b'"}') is None and X.malformed(b"[" * 100) == "too deep" and X.malformed(b" " * (2 << 20)) == "too large"
     df = spark.createDataFrame([(long,), (None,)], "t string").select(X.limited_middle("t").alias("t"))
     assert sorted(len(r.t or "") for r in df.collect()) == [0, len(X.limit_middle(long))]
+
+
+def test_distance_spectrum_takes_far_pairs(spark):
+    make = lambda far: spark.createDataFrame([(1, 0, "p", 0.0, 0.0, 0.0), (1, 1, "p", 1.0, 0.0, 0.0), (1, 2, "q", far, 0.0, 0.0)], "case long, id long, kind string, x double, y double, z double")
+    got = A.distance_spectrum(make(200.0), make(100.0)).collect()[0].spectrum
+    assert got == pytest.approx((1 + 100 / 200 + 99 / 199) / 3)
