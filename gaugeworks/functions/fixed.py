@@ -51,3 +51,52 @@ OUTPUT_LIMIT_BYTES = 10_000
 
 # Fixed values of instance hits.
 HIT_IOU, SURFACE_TOLERANCE = 0.5, 0.02
+
+# Fixed values of text: the line between the two ends of a limited output, separators of a class digest, byte limits.
+OMITTED_LINE = "\n[... output limited to {most} bytes; {gone} interior bytes omitted ...]\n"
+CLASS_PREFIX, CLASS_SEPARATOR, CLASS_DIGITS = "g-", "|", 12
+JSON_LIMIT_BYTES, JSON_LIMIT_DEPTH = 32 << 20, 64
+ROUNDS_ONLY = "%s rounds"
+BUDGET_ONLY = "at most %s output tokens, your thinking included -- the episode ends when they are spent"
+ROUNDS_AND_BUDGET = "at most %s rounds and %s output tokens, your thinking included -- the episode ends at whichever runs out first"
+ROUND, TOKENS_SPENT = "Round %s", " \u00b7 output tokens %s / %s"
+SHEET_KINDS, SHEET_FOLDER = ["alone", "in_assembly"], "parts"
+
+# Fixed values of the matching tie-break: multipliers and offset of the hash, its shifts and width, scale of weights.
+TIE_ROW, TIE_COLUMN, TIE_OFFSET, TIE_SALT, TIE_MIX = 0x9E3779B1, 0x85EBCA77, 0x27D4EB2F, 0xC2B2AE3D, 0xBF58476D1CE4E5B9
+TIE_SHIFTS, TIE_BITS, TIE_SCALE, TIE_LEVELS = (29, 32), 34, 42, 1 << 16
+
+# Fixed values of symmetry: types whose two terminals are interchangeable; packages whose name gives no number of pins.
+PAIRWISE_TYPES = ["resistor", "capacitor", "inductor", "ferrite_bead", "crystal", "fuse"]
+PACKAGE_PINS = {"SMA-TH": 1, "SW-SMD": 2, "SW-TH": 2}
+PIN_COUNT = r"(?i)[-_](\d{1,2})P(?:IN)?(?:[-_]|$)"
+EDGE_SLACK = 1e-9
+
+# Fixed values of mesh identity, topology and voxel grids.
+LEAST_FACES, DEGENERATE_AREA = 10, 1e-9
+VERTEX_TOLERANCE, INVARIANT_TOLERANCE = 1e-6, 1e-6
+SURFACE_IDENTITY, GATE_TOLERANCE, FARTHEST, NOISE_FACTOR = 2e-4, 5e-3, 3, 1.5
+GRID, GRID_SIZE = 128, 133
+
+# Fixed values of the budget record.
+DEFAULT_RESERVE, STANDARD_BUDGET = 64_000, 500_000
+GENERATION_PATHS = r"(/messages$|/responses$|/chat/completions$|:generateContent$|:streamGenerateContent$)"
+SUMMARIZE_FREE_TOKENS = 8_000
+
+# Fixed values of task declarations: the settings of a task with their defaults (None: required), and what they may hold.
+TASK_DEFAULTS = {
+    "id": None, "kind": None, "submission": None, "given": None, "inputs": "[]", "renderer": "none", "inject": "[]", "verify_entry": None, "orientation": None,
+    "oracle": "", "band_exclude_families": "[]", "band_exclude_cases": "[]", "band_exclude_reason": "", "source_repo": None, "split": None,
+    "metric": "legacy", "pose_mode": "expert-fit", "avg_part_types": "all", "scale": "fixed",
+}
+TASK_KEYS = {
+    "id": "task.id", "kind": "task.kind", "submission": "task.submission", "given": "task.given", "inputs": "task.inputs", "renderer": "tools.renderer", "inject": "tools.inject",
+    "verify_entry": "verify.entry", "orientation": "verify.orientation", "oracle": "verify.oracle", "band_exclude_families": "verify.band_exclude_families",
+    "band_exclude_cases": "verify.band_exclude_cases", "band_exclude_reason": "verify.band_exclude_reason", "source_repo": "data.source_repo", "split": "data.split",
+    "metric": "verify.metric", "pose_mode": "verify.pose_mode", "avg_part_types": "verify.avg_part_types", "scale": "verify.scale",
+}
+TASK_VALUES = {
+    "kind": ["part", "assembly", "ecad"], "orientation": ["free", "pinned", "n/a"], "given": ["nothing_3d", "purchased_parts_step", "all_parts_step", "renders_only"],
+    "split": ["open", "heldout"], "renderer": ["none", "shared"], "avg_part_types": ["all", "modelled"], "scale": ["fixed", "free"],
+    "metric": ["legacy", "asm_v1", "part_v1", "part_x_asm_v1", "ecad_v2"], "pose_mode": ["expert-fit", "iou24_aligned"],
+}

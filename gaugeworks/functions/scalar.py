@@ -160,3 +160,33 @@ def rigid_reason(m: list[Column], tolerance: float = fixed.RIGID_TOLERANCE) -> C
 def affine(m: list[Column], x: Column, y: Column, z: Column) -> list[Column]:
     """A 4 x 4 transform (16 columns by rows) of a point."""
     return [m[4 * r] * x + m[4 * r + 1] * y + m[4 * r + 2] * z + m[4 * r + 3] for r in range(3)]
+
+
+def half_even(value: Column, digits: int = 4) -> Column:
+    """Rounded to digits, ties (of the value's shortest decimal form) to the even digit."""
+    return F.bround(value.cast("decimal(38,18)"), digits).cast("double")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one ISO-8601 time to another, to one digit; null if either is missing or unreadable."""
+    at = lambda c: F.try_to_timestamp(c).cast("double")
+    return half_even(at(end) - at(start), 1)
+
+
+def nested_count(value: Column, *paths: str) -> Column:
+    """The first whole number at these paths of a variant, null if there is none; true and false are no numbers."""
+    whole = lambda p: F.when(F.schema_of_variant(F.try_variant_get(value, p, "variant")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(value, p, "bigint"))
+    return F.coalesce(*[whole(p) for p in paths])
+
+
+def default_classes(ctype: Column, terminals: Column, classes: Column) -> Column:
+    """Classes of interchangeable terminals (arrays of places): as declared, else the two of a symmetric type as one, else each alone."""
+    alone = F.transform(F.sequence(F.lit(0), terminals - 1), lambda i: F.array(i.cast("int")))
+    pair = F.array(F.array(F.lit(0), F.lit(1)))
+    none = F.array().cast("array<array<int>>")
+    return F.when(F.size(classes) > 0, classes).when(terminals <= 0, none).when(ctype.isin(fixed.PAIRWISE_TYPES) & (terminals == 2), pair).otherwise(alone)
+
+
+def nulls_as(column: Column, text: str) -> Column:
+    """A sort key in which null stands as this text."""
+    return F.coalesce(column.cast("string"), F.lit(text))

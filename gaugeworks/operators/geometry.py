@@ -76,13 +76,22 @@ def edge_facts(tri: DataFrame) -> DataFrame:
     return vertices.join(edges, "shape").join(faces, "shape").withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
-def betti(tri: DataFrame) -> DataFrame:
-    """shape, b0, b1, b2, closed of welded meshes, a kernel for each shape."""
+def per_mesh(vertex: DataFrame, tri: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(vertices, triangles) of each shape, whose result (a tuple, or None for nothing) follows the shape."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *kernels.betti(pdf[["a", "b", "c"]].to_numpy()))], columns=["shape", "b0", "b1", "b2", "closed"])
+    def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("vid")
+        places = np.searchsorted(v["vid"].to_numpy(), t.sort_values("tid")[["a", "b", "c"]].to_numpy())
+        got = kernel(v[["x", "y", "z"]].to_numpy(float), places) if len(v) and len(t) else None
+        return pd.DataFrame([] if got is None else [(key[0], *got)], columns=[x.split()[0] for x in f"shape string, {schema}".split(", ")])
 
-    return tri.groupBy("shape").applyInPandas(run, "shape string, b0 int, b1 int, b2 int, closed boolean")
+    left, right = (df.select(*[F.col(x).alias(x) for x in names]) for df, names in ((vertex, ("shape", "vid", "x", "y", "z")), (tri, ("shape", "tid", "a", "b", "c"))))
+    return left.groupBy("shape").cogroup(right.groupBy("shape")).applyInPandas(run, f"shape string, {schema}")
+
+
+def betti(vertex: DataFrame, tri: DataFrame) -> DataFrame:
+    """shape, b0, b1, b2, closed of welded meshes; shapes of dust alone have no row."""
+    return per_mesh(vertex, tri, kernels.betti, "b0 int, b1 int, b2 int, closed boolean")
 
 
 def rotation_table(spark: SparkSession) -> DataFrame:

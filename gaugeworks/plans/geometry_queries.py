@@ -12,6 +12,7 @@ from gaugeworks.operators import assembly as A
 from gaugeworks.operators import geometry as G
 from gaugeworks.operators import kernels
 from gaugeworks.operators import layout as L
+from gaugeworks.operators import meshes as M
 from gaugeworks.plans.adapters import POINTS, VOXELS, points, pred_cells, table, true_cells, voxels
 
 c = F.col
@@ -167,9 +168,51 @@ def mesh_euler(spark, d):
     return G.edge_facts(box_meshes(spark, d)[1]).select("shape", "vertices", "edges", "faces", "euler", "closed")
 
 
-@query("SELECT p_partkey::VARCHAR AS shape, 1::INT AS b0, 0::INT AS b1, 0::INT AS b2, true AS closed FROM part")
+def ring_mesh(n: int = 8) -> tuple[list, list]:
+    """Vertices and outward triangles of a ring with a square section: one tunnel."""
+    turn = [2 * np.pi * k / n for k in range(n)]
+    v = [(r * float(np.cos(t)), r * float(np.sin(t)), z) for r, z in ((2.0, 0.0), (2.0, 1.0), (1.0, 1.0), (1.0, 0.0)) for t in turn]
+    corner = lambda p, k: p % 4 * n + k % n
+    t = [f for p in range(4) for k in range(n) for f in ((corner(p, k), corner(p, k + 1), corner(p + 1, k + 1)), (corner(p, k), corner(p + 1, k + 1), corner(p + 1, k)))]
+    return v, t
+
+
+def hollow_mesh() -> tuple[list, list]:
+    """A box with a box-shaped void."""
+    inner = [tuple(0.25 + 0.5 * x for x in p) for p in CORNERS]
+    return [*CORNERS, *inner], [*FACES, *[(a + 8, c_ + 8, b + 8) for a, b, c_ in FACES]]
+
+
+@query("SELECT p_partkey::VARCHAR AS shape, 1::INT AS b0, (p_partkey % 3 = 2)::INT AS b1, (p_partkey % 3 = 1)::INT AS b2, true AS closed FROM part")
 def betti_mesh(spark, d):
-    return G.betti(box_meshes(spark, d)[1])
+    """A third of the parts each as boxes, hollow boxes and rings."""
+    shapes = [(list(CORNERS), list(FACES)), hollow_mesh(), ring_mesh()]
+    kind = c("p_partkey") % 3
+    p = table(spark, d, "part").select(c("p_partkey").cast("string").alias("shape"), kind.alias("k"))
+    vertex = spark.createDataFrame([(k, i, *map(float, x)) for k, (v, _) in enumerate(shapes) for i, x in enumerate(v)], "k long, vid int, x double, y double, z double")
+    tri = spark.createDataFrame([(k, i, *x) for k, (_, t) in enumerate(shapes) for i, x in enumerate(t)], "k long, tid int, a int, b int, c int")
+    return G.betti(p.join(F.broadcast(vertex), "k").drop("k"), p.join(F.broadcast(tri), "k").drop("k"))
+
+
+_BOX = "(SELECT p_partkey, p_size / 10.0 AS w, p_retailprice / 1000.0 AS h, 1.0 AS e FROM part)"
+
+
+@query(f"""WITH m AS (SELECT *, power(w * h * e, 5.0 / 3) AS s, w * h * e / 12 AS k FROM {_BOX}),
+n AS (SELECT p_partkey, w, h, e, list_sort([k * (h * h + e * e) / s, k * (w * w + e * e) / s, k * (w * w + h * h) / s]) AS m FROM m)
+SELECT p_partkey::VARCHAR AS shape, round(w * h * e, 6) AS volume, round(round(m[1], 6), 4) AS m1, round(round(m[2], 6), 4) AS m2, round(round(m[3], 6), 4) AS m3, round(w / 2, 6) AS x, round(sqrt(w * w + h * h + e * e) / 2, 6) AS gyration FROM n""")
+def mesh_measures(spark, d):
+    got = M.measure(*box_meshes(spark, d))
+    moments = [F.round(F.get("moments", F.lit(k)), 4).alias(f"m{k + 1}") for k in range(3)]
+    return got.select("shape", F.round("volume", 6).alias("volume"), *moments, F.round(F.get("centroid", F.lit(0)), 6).alias("x"), F.round("gyration", 6).alias("gyration"))
+
+
+@query("SELECT p_partkey::VARCHAR AS shape, 'vertices' AS level FROM part WHERE p_partkey % 2 = 0")
+def mesh_identity(spark, d):
+    """Half of the boxes turned about an axis and moved, the others larger by a tenth."""
+    vertex, tri = box_meshes(spark, d)
+    even = c("shape").cast("long") % 2 == 0
+    moved = vertex.select("shape", "vid", *[F.when(even, a + 7).otherwise(b * 1.1).alias(n) for n, a, b in (("x", -c("y"), c("x")), ("y", c("x"), c("y")), ("z", c("z"), c("z")))])
+    return M.identical((vertex, tri), (moved, tri)).select("shape", "level")
 
 
 @query(f"WITH {POINTS}, b AS (SELECT board, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points GROUP BY 1) SELECT board, id, round((x - (x0 + x1) / 2) / greatest(x1 - x0, y1 - y0, z1 - z0), 6) AS x, round((y - (y0 + y1) / 2) / greatest(x1 - x0, y1 - y0, z1 - z0), 6) AS y, round((z - (z0 + z1) / 2) / greatest(x1 - x0, y1 - y0, z1 - z0), 6) AS z FROM points JOIN b USING (board)")

@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import scalar as S
 from gaugeworks.functions import text as X
 from gaugeworks.operators import assembly as A
 from gaugeworks.operators import layout as L
@@ -113,15 +116,57 @@ def test_small_lookups(spark):
     assert {r["case"]: r.task for r in L.task_of_case(cases, declared).collect()} == {"t/x/c1": "up", "t/x/c2": "named", "u/c3": None}
 
 
+def plain_middle(text, most):
+    """Both ends of at most half the bytes each, whole characters only."""
+    text = text.strip()
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    head = max(k for k in range(len(text) + 1) if len(text[:k].encode()) <= most // 2)
+    tail = min(k for k in range(len(text) + 1) if len(text[k:].encode()) <= most // 2)
+    gone = len(text[head:tail].encode())
+    return text[:head] + f"\n[... output limited to {most} bytes; {gone} interior bytes omitted ...]\n" + text[tail:]
+
+
 def test_bytes_and_escapes(spark):
-    long = "é" * 9000
-    cut = X.limit_middle(long, 100)
-    assert cut.startswith("é" * 25 + "\n[... output limited to 100 bytes; 17900 interior") and cut.endswith("é" * 25) and X.limit_middle(" ok ") == "ok"
+    texts = ["é" * 9000, "a" + "é" * 90, "北京" * 60, "👩‍👩‍👧x" * 40, "  ok \n", "", " \t", "x" * 101, "x" * 100, "ab👩" * 33]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "k int, t string")
+    got = {r.k: (r.a, r.b) for r in df.select("k", X.limited_middle(F.col("t"), 100).alias("a"), X.limited_middle(F.col("t"), 11).alias("b")).collect()}
+    assert got.pop(99) == (None, None)
+    assert got == {k: (plain_middle(t, 100), plain_middle(t, 11)) for k, t in enumerate(texts)}
     assert X.decode_escapes(r"a\X2\00E94E2D\X0\b\X\E9") == "aé中bé"
-    assert X.geometry_class([[1.00001, 2.0], [3.0, 4.0]]) == X.geometry_class([[3.0, 4.0], [1.0, 2.0]])
-    assert X.malformed(b'{"a": "' + b"[" * 500 + b'"}') is None and X.malformed(b"[" * 100) == "too deep" and X.malformed(b" " * (2 << 20)) == "too large"
-    df = spark.createDataFrame([(long,), (None,)], "t string").select(X.limited_middle("t").alias("t"))
-    assert sorted(len(r.t or "") for r in df.collect()) == [0, len(X.limit_middle(long))]
+    assert X.malformed(b'{"a": "' + b"[" * 500 + b'"}') is None and X.malformed(b"[" * 100) == "too deep" and X.malformed(b"[]", 1) == "too large" and X.malformed(b" " * (2 << 20)) is None
+
+
+def test_class_of_solids(spark):
+    one, two = (1234.56, 10.0, 6, [0.1666667, 0.2, 0.0]), (5.0, 1e-9, 12, [1.0, 2.0, 3.0])
+    rows = ['[1235.0, 10.0, 6, [0.1667, 0.2, 0.0]]', '[5.0, 1e-09, 12, [1.0, 2.0, 3.0]]']
+    want = "g-" + hashlib.sha256("|".join(rows).encode()).hexdigest()[:12]
+    assert X.geometry_class([one, two]) == X.geometry_class([two, one]) == X.geometry_class([two, (1234.6, 10.0, 6, [0.16667, 0.2, 0])]) == want
+    assert X.geometry_class([one]) != want
+    df = spark.createDataFrame([([one, two],), (None,)], "s array<struct<volume double, area double, faces int, moments array<double>>>")
+    assert [r.c for r in df.select(X.class_of_solids("s").alias("c")).collect()] == [want, None]
+
+
+def test_formats(spark):
+    df = spark.createDataFrame([(1, 60, 500_000, 1234567), (2, None, 500_000, 0), (3, 30, None, 5), (4, None, 0, 5)], "n int, rounds int, budget long, spent long")
+    got = [tuple(r) for r in df.select(X.limits_text(F.col("rounds"), F.col("budget")), X.round_status(F.col("n"), F.col("rounds"), F.col("spent"), F.col("budget"))).collect()]
+    assert got[0] == ("at most 60 rounds and 500,000 output tokens, your thinking included -- the episode ends at whichever runs out first", "Round 1/60 · output tokens 1,234,567 / 500,000")
+    assert got[1] == ("at most 500,000 output tokens, your thinking included -- the episode ends when they are spent", "Round 2 · output tokens 0 / 500,000")
+    assert got[2:] == [("30 rounds", "Round 3/30"), ("None rounds", "Round 4")]
+    row = spark.createDataFrame([(["p1", "q"], "drawings/p1.pdf", "part_012", 0.12345)], "ids array<string>, path string, part string, score double")
+    assert [*row.select(X.sheet_names(F.col("ids")), X.png_path(F.col("path")), X.digits_of(F.col("part")), X.score_text(F.col("score"))).collect()[0]] == [["parts/p1_alone.png", "parts/p1_in_assembly.png", "parts/q_alone.png", "parts/q_in_assembly.png"], "drawings/p1.png", "012", "0.1235"]
+
+
+def test_rounding_times_and_nested_counts(spark):
+    rows = [(0.00005, 0.0), (0.00015, 0.0002), (0.00025, 0.0002), (-0.00015, -0.0002), (1.23456, 1.2346), (None, None)]
+    df = spark.createDataFrame(rows, "x double, want double")
+    assert all(r.got == r.want for r in df.withColumn("got", S.half_even(F.col("x"))).collect())
+    times = spark.createDataFrame([("2026-01-02T03:04:05Z", "2026-01-02T03:04:06.26Z", 1.3), ("2026-01-02T03:04:05+01:00", "2026-01-02T03:04:05Z", 3600.0), (None, "2026-01-02T03:04:05Z", None), ("x", "2026-01-02T03:04:05Z", None)], "a string, b string, want double")
+    assert all(r.got == r.want for r in times.withColumn("got", S.seconds_between(F.col("a"), F.col("b"))).collect())
+    docs = spark.createDataFrame([('{"a": {"n": 5}}', 5), ('{"a": {"n": true}, "b": 7}', 7), ('{"a": 3}', None), ('{"b": 1.5}', None)], "d string, want long")
+    assert all(r.got == r.want for r in docs.withColumn("got", S.nested_count(F.try_parse_json("d"), "$.a.n", "$.b")).collect())
+    assert [r.x for r in spark.createDataFrame([("b",), (None,), ("a",)], "x string").orderBy(S.nulls_as(F.col("x"), "None")).collect()] == [None, "a", "b"]
 
 
 def test_distance_spectrum_takes_far_pairs(spark):
