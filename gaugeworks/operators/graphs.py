@@ -57,6 +57,26 @@ def duplicates(points: DataFrame, radius: float = fixed.DUPLICATE_DISTANCE, grou
     return near_pairs(points, points, radius, group).where("a <> b").select(group, F.col("a").alias("id")).distinct()
 
 
+def nearest(points: DataFrame, radius: float, group: str = "board") -> DataFrame:
+    """group, id, away: the distance of each point to the nearest other one of its group, infinite if it is alone. Within the radius
+    by grid cells; only points that find none there are held against all of their group."""
+    met = near_pairs(points, points, radius, group).where("a <> b").groupBy(group, F.col("a").alias("id")).agg(F.min("distance").alias("away"))
+    left = points.select(group, "id", "x", "y").join(met, [group, "id"], "left_anti")
+    other = points.select(group, F.col("id").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"))
+    far = left.join(other, group, "left").withColumn("distance", F.when(F.col("b") != F.col("id"), F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2)))
+    far = far.groupBy(group, "id").agg(F.coalesce(F.min("distance"), F.lit(float("inf"))).alias("away"))
+    return met.unionByName(far)
+
+
+def class_faults(component: DataFrame, terminal: DataFrame) -> DataFrame:
+    """board, rule, id of components whose declared classes of terminals don't hold each place exactly once."""
+    n = terminal.groupBy("board", "cid").agg(F.count("*").cast("int").alias("n"))
+    rows = component.where(F.size("classes") > 0).join(n, ["board", "cid"], "left").na.fill(0, ["n"])
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    bad = F.array_sort(F.flatten("classes")) != places
+    return rows.where(bad).select("board", F.lit("classes don't partition the terminals").alias("rule"), F.col("cid").cast("string").alias("id"))
+
+
 def rival_tolerance(points: DataFrame, kind: str | None, tolerance: float, cap: float, group: str = "board") -> DataFrame:
     """Half the way to each point's nearest rival (of its kind), between tolerance and cap."""
     keyed = points.withColumn(group, F.struct(group, kind)) if kind else points
@@ -123,6 +143,11 @@ def overlaps(pairs: DataFrame, pred: DataFrame, true: DataFrame) -> DataFrame:
     return pairs.join(left, ["board", "p"]).join(right, ["board", "g"]).groupBy("board", "pnet", "gnet").agg(F.count("*").alias("n"))
 
 
+def shared_nets(paired: DataFrame) -> DataFrame:
+    """The same from terminals that are already paired: board, pnet, gnet of each."""
+    return paired.groupBy("board", "pnet", "gnet").agg(F.count("*").alias("n"))
+
+
 def jaccard(matched: DataFrame, pred: DataFrame, true: DataFrame, name: str) -> DataFrame:
     """Matched over all of both sides, for each board (counts of three tables)."""
     a, b, m = (df.groupBy("board").agg(F.count("*").alias(n)) for df, n in ((pred, "np"), (true, "ng"), (matched, "nm")))

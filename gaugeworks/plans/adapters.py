@@ -100,8 +100,8 @@ def pred_cells(v: DataFrame) -> DataFrame:
     return v.select("shape", c("jx").alias("ix"), c("jy").alias("iy"), c("jz").alias("iz")).distinct()
 
 
-def boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Incidences of a true and a predicted graph on lineitem: a terminal for each row, boards by order."""
+def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """board, tid, gnet, pnet: terminals of a true and a predicted graph on lineitem, with their nets; boards by order."""
     rows = table(spark, sf_dir, "lineitem").select(
         (c("l_orderkey") % 50).alias("board"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_extendedprice").cast("long")).alias("tid"),
@@ -109,7 +109,12 @@ def boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (c("l_partkey") % 97).alias("pnet"),
     )
     rows = rows.groupBy("board", "tid").agg(F.min("gnet").alias("gnet"), F.min("pnet").alias("pnet"))
-    return rows.select("board", "tid", c("gnet").alias("nid")), rows.select("board", "tid", c("pnet").alias("nid"))
+    return rows
+
+
+def sides(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The incidences of both graphs."""
+    return paired.select("board", "tid", c("gnet").alias("nid")), paired.select("board", "tid", c("pnet").alias("nid"))
 
 
 BOARDS = """

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import fixed
 from gaugeworks.functions import scalar as S
 from gaugeworks.operators import graphs as G
-from gaugeworks.plans.adapters import BOARDS, POINTS, RAIL_CLASSES, RAIL_NAMES, boards, points, table
+from gaugeworks.operators import truth as T
+from gaugeworks.plans.adapters import BOARDS, POINTS, RAIL_CLASSES, RAIL_NAMES, boards, points, sides, table
 
 c = F.col
 QUERIES, ORACLES = {}, {}
@@ -68,9 +69,9 @@ def graph_validate(spark, d):
 SELECT board, round(hit / (2.0 * n - hit), 6) AS net FROM m JOIN n USING (board)""")
 def channels_ct_n(spark, d):
     """Incidence channel with each predicted net counted at its largest true share (an upper bound of the assignment)."""
-    true, pred = boards(spark, d)
-    pairs = true.select("board", c("tid").alias("p"), c("tid").alias("g"))
-    best = G.overlaps(pairs, pred, true).groupBy("board", "pnet").agg(F.max("n").alias("n"))
+    paired = boards(spark, d)
+    true, pred = sides(paired)
+    best = G.shared_nets(paired).groupBy("board", "pnet").agg(F.max("n").alias("n"))
     hits = best.select("board", F.explode(F.sequence(F.lit(1), c("n").cast("int"))).alias("one"))
     return G.jaccard(hits, pred, true, "net").withColumn("net", F.round("net", 6))
 
@@ -79,9 +80,8 @@ def channels_ct_n(spark, d):
 t AS (SELECT board, sum(degree) AS total FROM degree GROUP BY 1), a AS (SELECT board, sum(CASE WHEN k > 1 THEN s - m ELSE 0 END) AS x FROM p GROUP BY 1), b AS (SELECT board, sum(CASE WHEN k > 1 THEN s - m ELSE 0 END) AS x FROM g GROUP BY 1)
 SELECT board, round(a.x / total, 6) AS short_rate, round(b.x / total, 6) AS open_rate FROM t JOIN a USING (board) JOIN b USING (board)""")
 def partition_faults(spark, d):
-    true, pred = boards(spark, d)
-    shared = G.overlaps(true.select("board", c("tid").alias("p"), c("tid").alias("g")), pred, true)
-    degree = true.groupBy("board", "nid").agg(F.count("*").alias("degree"))
+    shared = G.shared_nets(boards(spark, d))
+    degree = shared.groupBy("board", c("gnet").alias("nid")).agg(F.sum("n").alias("degree"))
     return G.fault_rates(shared, degree).select("board", F.round("short_rate", 6).alias("short_rate"), F.round("open_rate", 6).alias("open_rate"))
 
 
@@ -91,10 +91,9 @@ o AS (SELECT board, gnet, 1 - max(part) AS outside, count(*) AS pieces FROM k WH
 SELECT board, 'short' AS fault, gnet AS net, round(part, 6) AS share FROM k WHERE rails >= 2 AND supplies > 0 AND rail IS NOT NULL AND place > 1 AND part >= {fixed.FATAL_SHARE}
 UNION ALL SELECT board, 'open', gnet, round(outside, 6) FROM o WHERE outside >= {fixed.FATAL_SHARE} AND pieces >= {fixed.OPEN_PIECES} AND outside >= {fixed.OPEN_SHARE}""")
 def fatal_rail_faults(spark, d):
-    true, pred = boards(spark, d)
-    shared = G.overlaps(true.select("board", c("tid").alias("p"), c("tid").alias("g")), pred, true)
-    degree = true.groupBy("board", "nid").agg(F.count("*").alias("degree"))
-    names = true.select("board", "nid").distinct().join(rail_names(spark, d), "nid")
+    shared = G.shared_nets(boards(spark, d))
+    degree = shared.groupBy("board", c("gnet").alias("nid")).agg(F.sum("n").alias("degree"))
+    names = degree.select("board", "nid").join(rail_names(spark, d), "nid")
     return G.fatal_faults(shared, degree, names).withColumn("share", F.round("share", 6))
 
 
@@ -103,10 +102,12 @@ def duplicate_points(spark, d):
     return G.duplicates(points(spark, d), 0.01)
 
 
-@query(f"WITH {POINTS}, n AS (SELECT a.board, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS away FROM points a JOIN points b ON a.board = b.board AND a.id <> b.id GROUP BY ALL) SELECT board, id, round(away, 6) AS away FROM n WHERE away <= 0.1")
+@query(f"""WITH {POINTS}, n AS (SELECT a.board, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS away FROM points a JOIN points b ON a.board = b.board AND a.id <> b.id GROUP BY ALL)
+SELECT board, id, CASE WHEN away IS NULL THEN -1 ELSE round(away, 6) END AS away FROM points LEFT JOIN n USING (board, id)""")
 def nearest_neighbour(spark, d):
-    p = points(spark, d)
-    return G.near_pairs(p, p, 0.1).where("a <> b").groupBy("board", c("a").alias("id")).agg(F.round(F.min("distance"), 6).alias("away"))
+    """-1 for a point that is alone on its board."""
+    away = c("away")
+    return G.nearest(points(spark, d), 0.1).select("board", "id", F.when(away == float("inf"), -1.0).otherwise(F.round(away, 6)).alias("away"))
 
 
 def moved(spark, d):
@@ -153,8 +154,44 @@ def ecad_v2(spark, d):
 @query("""WITH n AS (SELECT l_orderkey AS board, l_partkey AS cid, l_suppkey AS nid, count(*) AS n FROM lineitem GROUP BY ALL), h AS (SELECT board, cid, list_sort(list({'nid': nid, 'n': n})) AS nets FROM n GROUP BY ALL)
 SELECT board, cid, min(cid) OVER (PARTITION BY board, nets) AS twin FROM h""")
 def twin_components(spark, d):
-    t = table(spark, d, "lineitem").select(c("l_orderkey").alias("board"), c("l_partkey").alias("cid"), c("l_suppkey").alias("nid"))
-    nets = t.groupBy("board", "cid", "nid").agg(F.count("*").alias("n")).groupBy("board", "cid").agg(F.array_sort(F.collect_list(F.struct("nid", "n"))).alias("nets"))
-    from pyspark.sql import Window
+    pins = table(spark, d, "lineitem").select(c("l_orderkey").alias("board"), c("l_partkey").alias("cid"), F.monotonically_increasing_id().alias("tid"), c("l_suppkey").alias("nid"))
+    component = pins.select("board", "cid").distinct().withColumns({"ctype": F.lit("ic"), "value": F.lit(None).cast("double")})
+    return G.twin_classes(component, pins.select("board", "cid", "tid"), pins.select("board", "tid", "nid"))
+
+
+PAIRS = "pairs AS (SELECT DISTINCT l_orderkey % 50 AS board, l_partkey AS p, l_suppkey AS g FROM lineitem)"
+
+
+def line_pairs(spark, d):
+    return table(spark, d, "lineitem").select((c("l_orderkey") % 50).alias("board"), c("l_partkey").alias("p"), c("l_suppkey").alias("g")).distinct()
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, dense_rank() OVER (PARTITION BY board ORDER BY p) AS x, dense_rank() OVER (PARTITION BY board ORDER BY g) AS y FROM pairs)
+SELECT board, p, g FROM r WHERE abs(x - y) <= 20""")
+def rank_pruned(spark, d):
+    return T.rank_pruned(line_pairs(spark, d), "board", 20)
 
-    return nets.withColumn("twin", F.min("cid").over(Window.partitionBy("board", "nets"))).select("board", "cid", "twin")
+
+@query(f"""WITH {PAIRS}, n AS (SELECT board, g, count(*) AS n FROM pairs GROUP BY ALL), t AS (SELECT l_orderkey % 50 AS board, l_suppkey AS g, count(*) AS pins FROM lineitem GROUP BY ALL)
+SELECT board, g, row_number() OVER (PARTITION BY board ORDER BY n, pins DESC, g)::INT AS place FROM n JOIN t USING (board, g)""")
+def most_constrained(spark, d):
+    pins = table(spark, d, "lineitem").select((c("l_orderkey") % 50).alias("board"), c("l_suppkey").alias("cid"))
+    return T.most_constrained(line_pairs(spark, d), pins)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '0' WHEN p_size % 3 = 1 AND p_size % 7 = 2 THEN '0,1' ELSE array_to_string(range(p_size % 7), '|') END AS classes FROM part""")
+def default_classes(spark, d):
+    kind = F.when(c("p_size") % 3 == 1, "resistor").otherwise("ic")
+    classes = S.default_classes(kind, c("p_size") % 7, F.when(c("p_size") % 7 == 0, F.array(F.array(F.lit(0)))))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(classes, lambda g: F.array_join(g, ",")), "|").alias("classes"))
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT DISTINCT board FROM points), bad AS (SELECT *, NOT (x BETWEEN -1e-9 AND 1 + 1e-9 AND y BETWEEN -1e-9 AND 1 + 1e-9) AS o, NOT (x BETWEEN -0.500000001 AND 0.500000001 AND z BETWEEN -0.500000001 AND 0.500000001) AS r FROM points)
+SELECT board, 'schema' AS rule, board AS id FROM b WHERE board <> '1' UNION ALL SELECT board, 'centre', id::VARCHAR FROM bad WHERE o UNION ALL SELECT board, 'relative position', id::VARCHAR FROM bad WHERE r AND id % 5 <> 0
+UNION ALL SELECT board, 'terminal without place', id::VARCHAR FROM points WHERE id % 5 = 0 UNION ALL SELECT board, 'parent', id::VARCHAR FROM points WHERE id % 5 <> 0 AND id % 4 = 0""")
+def spatial_faults(spark, d):
+    p = points(spark, d)
+    graph = p.select("board").distinct().select("board", F.when(c("board") == "1", "s").otherwise(c("board")).alias("schema"), F.lit("f").alias("frame"))
+    component = p.select("board", c("id").alias("cid"), "x", "y")
+    place = p.where("id % 5 <> 0").select("board", c("id").alias("tid"), (c("id") + F.when(c("id") % 4 == 0, 1).otherwise(0)).alias("parent"), "x", c("z").alias("y"))
+    return T.spatial_faults(graph, component, p.select("board", c("id").alias("cid"), F.lit(0).alias("idx"), c("id").alias("tid")), place, "s", "f")
