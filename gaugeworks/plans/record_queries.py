@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import scalar as S
+from gaugeworks.functions import text as X
 from gaugeworks.operators import records as R
+from gaugeworks.operators import rules as RU
 from gaugeworks.plans.adapters import RECORDS, records, table
+from gaugeworks.streaming import meter as M
 
 c = F.col
 QUERIES, ORACLES = {}, {}
@@ -206,3 +210,51 @@ def result_upsert(spark, d):
     bought = c("event_type") == "purchase"
     best = lambda rows, name: table(spark, d, "events").where(rows).groupBy(c("user_id").alias("case")).agg(F.max("value").alias("v")).withColumn("origin", F.lit(name))
     return R.upsert(best(~bought, "kept"), best(bought, "new"))
+
+
+@query("""SELECT user_id, round_even(avg(value), 4) AS mean, row_number() OVER (ORDER BY count(*) DESC, user_id)::INT AS place FROM events GROUP BY 1""")
+def rounded_means(spark, d):
+    """Means to four digits, ties to even; places by the number of events."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(S.half_even(F.avg("value")).alias("mean"), F.count("*").alias("n"))
+    before = rows.alias("a").select("user_id", "mean", F.row_number().over(Window.orderBy(c("n").desc(), "user_id")).alias("place"))  # a row for each user
+    return before
+
+
+@query("""SELECT event_id, round(floor(value * 10)::BIGINT / 10.0 + 0.03, 1) AS seconds FROM events""")
+def iso_seconds(spark, d):
+    end = c("ts").cast("timestamp") + F.make_dt_interval(secs=(F.floor(c("value") * 10) / 10 + 0.03).cast("decimal(18,6)"))
+    iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return table(spark, d, "events").select("event_id", S.seconds_between(iso(c("ts").cast("timestamp")), iso(end)).alias("seconds"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size || ' rounds' WHEN p_size % 3 = 1 THEN 'at most ' || format('{:,}', p_size * 12345) || ' output tokens, your thinking included -- the episode ends when they are spent'
+  ELSE 'at most ' || p_size || ' rounds and ' || format('{:,}', p_size * 12345) || ' output tokens, your thinking included -- the episode ends at whichever runs out first' END AS limits,
+  'Round ' || (p_partkey % 9) || CASE WHEN p_size % 3 = 1 THEN '' ELSE '/' || p_size END || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' · output tokens ' || format('{:,}', p_partkey * 77) || ' / ' || format('{:,}', p_size * 12345) END AS status,
+  'parts/p' || p_partkey || '_alone.png parts/p' || p_partkey || '_in_assembly.png' AS sheets FROM part""")
+def text_formats(spark, d):
+    rounds, budget = F.when(c("p_size") % 3 != 1, c("p_size")), F.when(c("p_size") % 3 != 0, c("p_size") * 12345)
+    sheets = F.array_join(X.sheet_names(F.array(F.concat(F.lit("p"), c("p_partkey").cast("string")))), " ")
+    return table(spark, d, "part").select("p_partkey", X.limits_text(rounds, budget).alias("limits"), X.round_status(c("p_partkey") % 9, rounds, c("p_partkey") * 77, budget).alias("status"), sheets.alias("sheets"))
+
+
+@query("""WITH c AS (SELECT *, lag(floor(value * 20)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT event_id, n > 1 AND 10000 - coalesce(before, 0) < 8000 AS needed FROM c""")
+def summary_triggers(spark, d):
+    calls = table(spark, d, "events").select("event_id", "user_id", F.floor(c("value") * 20).alias("input_tokens"), F.lit(10_000).cast("long").alias("context_tokens"))
+    return M.needs_summary(calls, ["user_id"], "event_id").select("event_id", "needed")
+
+
+@query("""WITH r AS (SELECT event_id % 200 AS trial, arg_max((value * 4)::INT, event_id) FILTER (event_type <> 'view') AS status FROM events GROUP BY 1),
+t AS (SELECT c_custkey AS trial, c_custkey % 11 <> 0 AS has_result, c_custkey % 7 <> 0 AS collected, c_custkey % 5 <> 0 AS has_meter, c_nationkey = 3 AS no_answer, c_acctbal < 0 AS failed, c_custkey % 2 = 0 AS boom FROM customer),
+s AS (SELECT t.*, CASE WHEN NOT has_result OR NOT collected OR failed THEN 'pending' WHEN no_answer THEN 'no_submission' ELSE 'scored' END AS v, CASE WHEN status = 429 OR status >= 500 THEN status END AS ps FROM t LEFT JOIN r ON t.trial = r.trial)
+SELECT trial, CASE WHEN has_result AND NOT has_meter AND v <> 'pending' THEN 'pending' WHEN has_meter AND boom AND ps IS NOT NULL THEN 'pending' ELSE v END AS status, has_result AND has_meter AS reportable FROM s""")
+def trial_status(spark, d):
+    k = c("c_custkey")
+    pins = F.create_map(F.lit("v"), F.lit("1"))
+    trials = table(spark, d, "customer").select(
+        k.alias("trial"), (k % 11 != 0).alias("has_result"), (k % 7 != 0).alias("collected"), F.lit(True).alias("has_reward"), (c("c_acctbal") / 1e4).cast("double").alias("reward"), F.when(c("c_acctbal") < 0, "failed").alias("reward_error"),
+        (c("c_nationkey") == 3).alias("no_answer"), (k % 5 != 0).alias("has_meter"), F.lit(500_000.0).alias("budget"), F.lit(False).alias("budget_hit"), F.lit(0).alias("usage_unread"), F.lit(True).alias("upstreams_ok"),
+        F.when(k % 2 == 0, "Boom").alias("exception"), pins.alias("pins"), pins.alias("standard_pins"),
+    )
+    requests = table(spark, d, "events").select((c("event_id") % 200).alias("trial"), c("event_id").alias("line"), F.round(c("value") * 4).cast("int").alias("status"), (c("event_type") == "view").alias("refused"), F.lit(False).alias("blocked"), F.lit(False).alias("websocket"))
+    return RU.trial_states(trials, requests).select("trial", "status", "reportable")
