@@ -1,6 +1,6 @@
 """A Bloom filter of fixed size over a column of 64-bit values.
 
-Its size is a constant (2 MB), whatever the number of values, so it may go to every executor. It only
+Its size is a constant (4 MB), whatever the number of values, so it may go to every executor. It only
 spares work: with ever more values it lets ever more rows pass, and what it passes is joined exactly.
 """
 
@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.words import U, mix
+from gaugeworks.llm.workspace import Workspace, tidy
 
-LOG2_BITS = 24
+LOG2_BITS = 25
 HASHES = 3
 FAN_IN = 16
 
 
-def _places(values: np.ndarray) -> Iterator[np.ndarray]:
+def _place(values: np.ndarray, k: int) -> np.ndarray:
+    """The bit that the k-th hash sets for each value."""
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
-            yield (mix(values + U(0x9E3779B97F4A7C15) * U(k + 1)) >> U(64 - LOG2_BITS)).astype(np.int64)
+        return (mix(values + U(0x9E3779B97F4A7C15) * U(k + 1)) >> U(64 - LOG2_BITS)).astype(np.int64)
 
 
 class Bloom:
@@ -34,15 +35,19 @@ class Bloom:
     def has(self, values: np.ndarray) -> np.ndarray:
         """Which of these 64-bit values may be in the set."""
         values = values.view(U)
-        ok = np.ones(len(values), bool)
-        for at in _places(values):
-            ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        left = np.arange(len(values))
+        for k in range(HASHES):
+            at = _place(values[left] if k else values, k)
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        ok = np.zeros(len(values), bool)
+        ok[left] = True
         return ok
 
 
 def build(df: DataFrame, column: str) -> Bloom:
     """The filter of all values of a long column. Bitmaps are united up a tree: few of them reach the driver."""
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
         for batch in batches:
@@ -50,11 +55,12 @@ def build(df: DataFrame, column: str) -> Bloom:
             if not len(values):
                 continue
             bits = np.zeros(1 << LOG2_BITS, bool) if bits is None else bits
-            for at in _places(values):
-                bits[at] = True
+            for k in range(HASHES):
+                bits[_place(values, k)] = True
         if bits is not None:
             yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
+    @tidy
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
         for batch in batches:
@@ -79,11 +85,12 @@ def build(df: DataFrame, column: str) -> Bloom:
     return Bloom(total)
 
 
-def keep_possible(df: DataFrame, column: str, bloom: Bloom) -> DataFrame:
-    """Rows whose value may be in the set; null never is."""
+def keep_possible(df: DataFrame, column: str, bloom: Bloom, work: Workspace, name: str) -> DataFrame:
+    """Rows whose value may be in the set, written; null never is."""
     where = df.columns.index(column)
-    shared = df.sparkSession.sparkContext.broadcast(bloom.bits)  # 2 MB
+    shared = df.sparkSession.sparkContext.broadcast(bloom.bits)  # 4 MB
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bloom(shared.value)
         for batch in batches:
@@ -92,4 +99,6 @@ def keep_possible(df: DataFrame, column: str, bloom: Bloom) -> DataFrame:
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
-    return df.mapInArrow(run, df.schema)
+    kept = work.keep(df.mapInArrow(run, df.schema), name)
+    shared.destroy()
+    return kept

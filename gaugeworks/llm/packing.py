@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import tokens
 from gaugeworks.llm.words import pieces, texts_of
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.workspace import Workspace, tidy
 
 CAPACITY = 2048
 #: lengths that share a sequence, and how many sequences are alike
@@ -211,6 +211,7 @@ def places(patterns: list[Pattern]) -> pd.DataFrame:
 
 
 def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.words import U, buffers, pieces, run_bounds, run_hashes, texts_of, words
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.workspace import Workspace, tidy
 
 FOLDS = 5
 #: Random Fourier features, and the kernel's width in units of the square root of the number of statistics.
@@ -114,6 +114,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = texts_of(batch.column("text"))
@@ -129,6 +130,7 @@ def matrix(column: pa.Array, width: int = K) -> np.ndarray:
 def tree_sum(parts: DataFrame) -> dict[int, np.ndarray]:
     """Sum of the arrays (column `sums`: float64 bytes) under each `key`, a small fixed set. Few rows reach the driver."""
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -151,6 +153,7 @@ def tree_sum(parts: DataFrame) -> dict[int, np.ndarray]:
 def _partial(of):
     """A mapInArrow function that yields a partition's sums; of: batch -> {key: array}."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -279,6 +282,7 @@ def fit(measured: DataFrame, labels: DataFrame, work: Workspace) -> Model:
 def score(measured: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(model.score(matrix(batch.column("x"))), pa.float64())})

@@ -20,7 +20,7 @@ from gaugeworks.llm.words import buffers, folded, ranges, run_bounds, run_hashes
 
 U = np.uint64
 #: Different parts that a worker remembers (about 30 bytes each); when full, all are forgotten and learnt anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 #: Words that go to the library at a time.
 JOINED = 500
 SPACE, LETTER, SIGN, OTHER = 0, 1, 2, 3

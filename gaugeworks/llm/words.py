@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that a kernel holds in arrays at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -70,3 +70,16 @@ def test_normal_equations_equal_plain_ridge(spark):
     penalty = np.full(z.shape[1], 0.1 * 50 / quality.FEATURES)
     penalty[-1] = 1e-9
     assert np.allclose(z.T @ (z @ w - y) + penalty * w, 0, atol=1e-8)
+
+
+def test_features_approximate_the_gaussian_kernel():
+    """Products of features against exp(-|x - y|^2 / 2 w^2), w the width in units of the root of the number of statistics."""
+    rng = np.random.default_rng(80)
+    x = rng.standard_normal((60, quality.K))
+    model = quality.Model(np.zeros(quality.K), np.ones(quality.K))
+    z = model.features(x)[:, :-1]
+    width = quality.WIDTH * np.sqrt(quality.K)
+    want = np.exp(-((x[:, None] - x) ** 2).sum(2) / (2 * width**2))
+    gap = np.abs(z @ z.T - want)
+    assert gap.mean() < 0.05 and gap.max() < 0.25
+    assert np.corrcoef((z @ z.T).ravel(), want.ravel())[0, 1] > 0.9
