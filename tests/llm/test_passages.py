@@ -79,11 +79,14 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
-def test_chain_scores_against_quadratic_search():
+def test_chain_scores_against_quadratic_search(monkeypatch):
+    """The first chain has the best score of all chains, where no gap breaks it; each run is in one chain."""
+    monkeypatch.setattr(passages, "MAX_GAP", 10_000)
+    monkeypatch.setattr(passages, "GAP_COST", 0.05)  # so that long chains pay
     rng = random.Random(14)
+    lengths = []
     for _ in range(60):
         runs = [(rng.randrange(200), rng.randrange(200), n := rng.randrange(6, 20), n) for _ in range(rng.randrange(1, 25))]
-        runs = [r[:4] for r in runs]
         order = sorted(range(len(runs)), key=lambda i: runs[i][0])
         score = {}
         for i in order:
@@ -91,11 +94,54 @@ def test_chain_scores_against_quadratic_search():
             gains = [score[j] - passages.GAP_COST * (a - runs[j][0] - runs[j][2] + b - runs[j][1] - runs[j][2]) for j in score if runs[j][0] + runs[j][2] <= a and runs[j][1] + runs[j][2] <= b]
             score[i] = n + max([0.0, *gains])
         got = passages.chains(runs)
-        best = max(sum(x[2] for x in c) - passages.GAP_COST * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(c, c[1:])) for c in got)
-        assert best <= max(score.values()) + 1e-9
-        if len(got[0]) == len([r for r in got[0]]) and all(max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) <= passages.MAX_GAP for x, y in zip(got[0], got[0][1:])):
-            assert best >= max(score.values()) - passages.GAP_COST * 2 * 200
-        assert sorted(r for c in got for r in c) == sorted(r[:3] for r in runs if r[3] >= passages.SEEDED or any(r[:3] in c for c in got))
+        first = sum(x[2] for x in got[0]) - passages.GAP_COST * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(got[0], got[0][1:]))
+        assert abs(first - max(score.values())) < 1e-9
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for c in got for x, y in zip(c, c[1:]))
+        assert sorted(r for c in got for r in c) == sorted(runs)
+        lengths.append(len(got[0]))
+    assert max(lengths) >= 4
+
+
+def test_whole_repeats_against_brute_force(spark):
+    """Every stretch of 50 words that an earlier document holds is reported but for fewer than K words, in texts that are made
+    of each other's pieces."""
+    rng = random.Random(31)
+    pool = [prose(rng, rng.randrange(20, 90)) for _ in range(12)]
+    texts = {}
+    for k in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            piece = rng.choice(pool)
+            lo = rng.randrange(len(piece) // 2)
+            text += prose(rng, rng.randrange(0, 30)) + piece[lo : lo + rng.randrange(15, 90)]
+        texts[k] = text
+    got = {}
+    for r in rows_of(passages.repeated_passages(documents(spark, [(k, " ".join(t)) for k, t in texts.items()]))):
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
+    seen, repeats = set(), 0
+    for k, text in texts.items():
+        own = [tuple(text[i : i + 50]) for i in range(len(text) - 49)]
+        want = {w for i, s in enumerate(own) if s in seen for w in range(i, i + 50)}
+        assert len(want - got.get(k, set())) < passages.K, (k, sorted(want - got.get(k, set())))
+        repeats += bool(want)
+        seen |= set(own)
+    assert repeats >= 5
+
+
+def test_edited_copies_in_fragments_find_each_other(spark):
+    """Fuzzy copies of a passage whose parts stand, word for word, in different documents before."""
+    rng, found = random.Random(32), 0
+    rows = []
+    for case in range(30):
+        passage, at = prose(rng, 100), case * 10
+        copy = list(passage)
+        for k in rng.sample(range(1, 99), 12):
+            copy[k] = f"z{case}x{k}"
+        rows += [(at + k, " ".join(prose(rng, 30) + passage[25 * k : 25 * k + 25] + prose(rng, 30))) for k in range(4)]
+        rows += [(at + 5, " ".join(prose(rng, 40) + passage + prose(rng, 40))), (at + 6, " ".join(prose(rng, 40) + copy + prose(rng, 40)))]
+    got = {(r["doc_id"], r["source"]) for r in rows_of(passages.repeated_passages(documents(spark, rows)))}
+    found = sum((c * 10 + 6, c * 10 + 5) in got for c in range(30))
+    assert found >= 27 and all(d // 10 == s // 10 for d, s in got)
 
 
 def test_fenwick_is_prefix_maximum():
@@ -113,7 +159,7 @@ def test_minimisers_guarantee_a_seed_in_each_window():
     rng = np.random.default_rng(16)
     hashes = rng.integers(0, 30, 400).astype(np.uint64)
     offsets = np.array([0, 3, 60, 60, 400])
-    _, text, pos, reach = passages.minimisers(hashes, offsets)
+    _, text, pos, reach, _ = passages.minimisers(hashes, offsets)
     assert (reach >= passages.K).all()
     assert set(text.tolist()) == {1, 3}
     for t, n in ((1, 57), (3, 340)):
@@ -167,6 +213,16 @@ def test_parts_of_a_failing_chain():
     assert passages.align(a, a, [(100, 100, 20)]) == [(0, 300, 0, 300, 300)]
 
 
+def alike(around, k, j):
+    """The test of surroundings that meetings apply, for two seeds."""
+    for side in (passages.SIDES[:2], passages.SIDES[2:4]):
+        a, b = (sum(int(around[x, passages.SIDES.index(c)]) << (64 * n) for n, c in enumerate(side)) for x in (k, j))
+        least = min(a.bit_count(), b.bit_count())
+        if least and (a & b).bit_count() >= min(passages.ALIKE, -(-least // 2)):
+            return True
+    return False
+
+
 def recall(n, edits, kinds, trials=100):
     """Share of randomly edited copies of n words, their first and last word left, that are found; kinds of edits: 0 other
     word, 1 word gone, 2 word added."""
@@ -180,11 +236,12 @@ def recall(n, edits, kinds, trials=100):
             kind = kinds[int(rng.integers(len(kinds)))]
             copy[at : at + (kind != 2)] = fresh(1).tolist() if kind != 1 else []
         texts = [np.concatenate([fresh(80), np.array(x, np.uint64), fresh(90)]) for x in (original, copy)]
-        seed, text, pos, reach = passages.minimisers(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        seed, text, pos, reach, _ = passages.minimisers(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
         first = {h: k for k, h in reversed(list(enumerate(seed.tolist()))) if text[k] == 0}
-        met = [(pos[k], pos[first[h]], min(reach[k], reach[first[h]])) for k, h in enumerate(seed.tolist()) if text[k] == 1 and h in first]
-        chains = passages.chains(passages.runs_of(*map(np.array, zip(*met)))) if met else []
-        found += any(passages.align(texts[1], texts[0], chain) for chain in chains)
+        around = passages.surroundings(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), text, pos)
+        met = [(pos[k], pos[first[h]], min(reach[k], reach[first[h]])) for k, h in enumerate(seed.tolist()) if text[k] == 1 and h in first and alike(around, k, first[h])]
+        chains = passages.chains(passages.runs_of(*map(np.array, zip(*met)))[:, 1:].tolist()) if met else []
+        found += any(not passages.hopeless(texts[1], texts[0], [r[:3] for r in chain]) and passages.align(texts[1], texts[0], [r[:3] for r in chain]) for chain in chains)
     return found / trials
 
 
