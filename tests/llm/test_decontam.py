@@ -61,7 +61,14 @@ def test_every_whole_item_holds_a_window():
     for n in range(3, 400):
         m, s = decontam.window_class(n)
         assert m + s - 1 <= n <= decontam.longest_item(m)
-    assert decontam.window_class(2) is None
+    assert decontam.window_class(2) is None and decontam.window_class(2, 1) == (2, 1) and decontam.window_class(0, 0) is None
+
+
+def test_short_items_if_asked_for(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three")]
+    rows = [(1, "so Beta, gamma it is"), (2, "beta or gamma"), (3, "alpha"), (4, "one two three")]
+    got = rows_of(decontam.contaminated(documents(spark, rows), bench(spark, items), shortest=1))
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["edits"]) for r in got) == [(1, 2, 1, 0), (3, 1, 0, 0), (4, 3, 0, 0)]
 
 
 def test_nulls_repeats_clashes_and_empty(spark):
