@@ -4,16 +4,20 @@ Fit, on a bounded sample (SAMPLE rows, by a hash of vec_id): principal direction
 each ROTATION_BITS bits of code, a rotation learnt by iterative quantisation (each sign step followed by the orthogonal
 Procrustes solution). A code is the signs of the rotated vector, BITS bits.
 
-Index: every row's code, split into SUBSTRINGS substrings, each with its own table from value to rows.
+Index: rows lie in blocks of at most BLOCK_ROWS or so, each row in one; a block splits its codes into SUBSTRINGS
+substrings, each with its own table from value to rows. Rows move once. Queries go to every block, as any block may
+hold a code within the radius, and stream past it a batch at a time, so memory is bounded by a block.
 
 Search radius: the true neighbours, among all rows, of CALIBRATION sampled queries are found by brute force once; the
 radius is the smallest that holds COVERED of them. By the pigeonhole principle a code within radius r = m a + b of the
 query agrees to within a bits in one of the first b + 1 of the m substrings or to within a - 1 bits in one of the
 others: those buckets are probed (by flipping bits, or by going through the values present where these are fewer), so every
 code within the radius is found, none is missed. What is within the radius is ranked by the exact cosine in double
-precision. Queries with fewer than k rows within the radius are searched again without one.
+precision, and a block returns k rows for a query at most. Queries with fewer than k rows within the radius are
+searched again without one.
 
-Rows and queries meet in blocks of bounded size, so memory is bounded and equal vectors spread over blocks.
+Cosines: a vector is scaled by the power of two of its largest component first, which is exact, so no square over- or
+underflows that matters.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
 do rows with a null vec_id; a query's own row (and rows that repeat its vec_id) is no candidate; repeated candidates with
@@ -28,13 +32,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.words import U
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.workspace import Workspace, tidy
 
 NEIGHBOURS, EVERY = 5, 50
 SAMPLE, CALIBRATION, COVERED = 20_000, 256, 0.98
@@ -43,7 +47,10 @@ SAMPLE_BYTES = 1 << 26
 BITS, ROTATION_BITS, SUBSTRING_BITS = 128, 64, 16
 SUBSTRINGS = BITS // SUBSTRING_BITS
 ITERATIONS = 30
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+#: Rows of a block of the index; fewer where that keeps all tasks busy, but LEAST_ROWS.
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 11
+#: Pairs of queries and rows that are looked at a time, and pairs whose cosines are.
+TILE, PAIRS = 1 << 20, 1 << 14
 
 
 class Codes:
@@ -84,33 +91,35 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray):
         self.words = np.ascontiguousarray(codes).view(U)
-        self.parts = np.ascontiguousarray(codes).view(np.uint16)
-        self.tables = []
-        for k in range(SUBSTRINGS):
-            order = np.argsort(self.parts[:, k], kind="stable")
-            values, first = np.unique(self.parts[order, k], return_index=True)
-            self.tables.append((order, values, np.append(first, len(order))))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is at most `radius` bits away."""
-        parts, found = code.view(np.uint16), np.zeros(len(self.words), bool)
+        parts = np.ascontiguousarray(codes).view(np.uint16)
+        self.tables = [np.unique(parts[:, k], return_inverse=True) for k in range(SUBSTRINGS)]
+
+    def distances(self, codes: np.ndarray) -> np.ndarray:
+        """Bits between each of these codes and each row."""
+        words = np.ascontiguousarray(codes).view(U)
+        return sum(np.bitwise_count(words[:, k, None] ^ self.words[:, k]).astype(np.int16) for k in range(words.shape[1]))
+
+    def within(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows have a code at most `radius` bits away, for each of these codes."""
+        parts = np.ascontiguousarray(codes).view(np.uint16)
+        found = np.zeros((len(codes), len(self.words)), bool)
         for k, most in enumerate(substring_radii(radius)):
-            if most < 0:
-                continue
-            order, values, first = self.tables[k]
-            flips = sum(math.comb(SUBSTRING_BITS, i) for i in range(most + 1))
-            if flips < len(values):
-                probes = parts[k] ^ flip_masks(most)
-                at = np.searchsorted(values, probes)
-                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probes)]
-            else:
-                at = np.flatnonzero(np.bitwise_count(values ^ parts[k]) <= most)
-            lengths = first[at + 1] - first[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            found[order[np.repeat(first[at] - (ends - lengths), lengths) + np.arange(total)]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.words[rows] ^ code.view(U)).sum(1) <= radius]
+            if most >= 0:
+                values, bucket = self.tables[k]
+                found |= np.take(self.probe(values, parts[:, k], most), bucket, axis=1)
+        return found & (self.distances(codes) <= radius)
+
+    @staticmethod
+    def probe(values: np.ndarray, parts: np.ndarray, most: int) -> np.ndarray:
+        """Which of the values present are at most `most` bits from each query's substring."""
+        if sum(math.comb(SUBSTRING_BITS, i) for i in range(most + 1)) * 4 >= len(values):
+            return np.bitwise_count(parts[:, None] ^ values) <= most
+        probes = parts[:, None] ^ flip_masks(most)
+        at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+        query, hit = np.nonzero(values[at] == probes)
+        near = np.zeros((len(parts), len(values)), bool)
+        near[query, at[query, hit]] = True
+        return near
 
 
 _MASKS: dict[int, np.ndarray] = {}
@@ -123,72 +132,118 @@ def flip_masks(most: int) -> np.ndarray:
     return _MASKS[most]
 
 
-def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component is about 1."""
+    _, exponent = np.frexp(np.abs(vectors).max(1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row in the same order of operations, so equal vectors have equal scores."""
-    return (vectors * query).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum()))
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """vec_ids and vectors (double) of the rows that take part."""
+    """vec_ids and vectors (double, scaled) of the rows that take part."""
     for batch in batches:
         ids, vectors = batch.column("vec_id"), batch.column("embedding")
-        ok = [k for k, (i, v) in enumerate(zip(ids.is_valid().to_pylist(), vectors.is_valid().to_pylist(), strict=True)) if i and v]
-        vectors = vectors.take(pa.array(ok, pa.int64()))
-        flat = vectors.flatten().cast(pa.float64())
-        values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, length)
+        ok = pc.and_(ids.is_valid(), vectors.is_valid())
+        ids, vectors = ids.filter(ok), vectors.filter(ok)
+        values = vectors.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, length)
         with np.errstate(invalid="ignore"):
             good = np.isfinite(values).all(1) & (values != 0).any(1)
-        yield ids.take(pa.array(ok, pa.int64())).to_numpy()[good], values[good]
+        yield ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), scaled(values[good]) if good.any() else np.zeros((0, length))
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of an array as a binary value."""
+    raw = np.ascontiguousarray(rows)
+    width = raw.itemsize * raw.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(len(raw) + 1, dtype=np.int32) * width), pa.py_buffer(raw)])
+
+
+def _rows(column: pa.Array, kind, width: int) -> np.ndarray:
+    """Binary values of `width` items each, as the rows of an array."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind).reshape(-1, width)
 
 
 def _encode(length: int, codes):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, vectors in _parse(batches, length):
-            code = codes.value.of(vectors) if len(ids) else []
-            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "x": pa.array([v.tobytes() for v in vectors], pa.binary()), "code": pa.array([c.tobytes() for c in code], pa.binary())})
+            if len(ids):
+                yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "x": _binary(vectors), "code": _binary(codes.value.of(vectors))})
 
     return run
 
 
-def _stacked(column: pd.Series | list, kind) -> np.ndarray:
-    raw = list(column)
-    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
-
-
-def _search_block(radius: int, k: int):
-    """The k nearest rows of a block (within the radius, if it is not negative) for each query of a block."""
-
-    def run(_, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "bits": []}
-        if rows.num_rows and queries.num_rows:
-            rows, queries = rows.combine_chunks(), queries.combine_chunks()
-            ids, x, code = rows["vec_id"].to_numpy(), _stacked(rows["x"].to_pylist(), float), _stacked(rows["code"].to_pylist(), np.uint8)
-            index = MultiIndex(code) if radius >= 0 else None
-            query_x, query_code = _stacked(queries["x"].to_pylist(), float), _stacked(queries["code"].to_pylist(), np.uint8)
-            for n, query in enumerate(queries["query_id"].to_pylist()):
-                near = index.within(query_code[n], radius) if index else np.arange(len(ids))
-                near = near[ids[near] != query]
-                scores = cosines(x[near], query_x[n])
-                best = np.lexsort((ids[near], -scores))
-                _, first = np.unique(ids[near][best], return_index=True)  # a repeated vec_id counts once
-                best = best[np.sort(first)[:k]]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += ids[near][best].tolist()
-                out["score"] += scores[best].tolist()
-                out["bits"] += np.bitwise_count(code[near][best] ^ query_code[n]).sum(1).tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("bits", pa.int64())]))
+FOUND = "query_id long, vec_id long, score double, bits long"
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool) -> np.ndarray:
+    """Which pairs are among their query's k best, a repeated vec_id counted once."""
+    some = np.arange(len(query))
+    if repeated:
+        some = np.lexsort((-scores, ids, query))
+        some = some[np.concatenate([[True], (query[some][1:] != query[some][:-1]) | (ids[some][1:] != ids[some][:-1])])]
+    order = some[np.lexsort((ids[some], -scores[some], query[some]))]
+    fresh = np.flatnonzero(np.concatenate([[True], query[order][1:] != query[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(fresh, np.diff(np.append(fresh, len(order))))
+    return order[rank < k]
+
+
+def _search(length: int, radius: int, k: int):
+    """Sorted by block, rows (kind 0) before queries (kind 1): the k nearest rows of the block (within the radius, if it is not
+    negative) for each query. The block's rows are held, its queries stream by."""
+
+    def search(ids, x, index: MultiIndex, query_ids, query_x, query_code) -> Iterator[pa.RecordBatch]:
+        tile, repeated = max(1, TILE // len(ids)), len(np.unique(ids)) < len(ids)
+        for at in range(0, len(query_ids), tile):
+            some = slice(at, at + tile)
+            hit = index.within(query_code[some], radius) if radius >= 0 else np.ones((len(query_ids[some]), len(ids)), bool)
+            hit &= ids != query_ids[some][:, None]
+            query, row = np.nonzero(hit)
+            if not len(query):
+                continue
+            scores = np.concatenate([cosines(x[row[j : j + PAIRS]], query_x[some][query[j : j + PAIRS]]) for j in range(0, len(row), PAIRS)])
+            best = best_of(query, ids[row], scores, k, repeated)
+            query, row = query[best], row[best]
+            bits = np.bitwise_count(index.words[row] ^ np.ascontiguousarray(query_code[some]).view(U)[query]).sum(1)
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[some][query]), "vec_id": pa.array(ids[row]), "score": pa.array(scores[best]), "bits": pa.array(bits.astype(np.int64))})
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("block", "kind", "id")] + [_rows(batch.column("x"), float, length), _rows(batch.column("code"), np.uint8, BITS // 8)]
+            cut = np.flatnonzero(np.diff(columns[0] * 2 + columns[1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                own, kind, ids, x, code = (c[lo:hi] for c in columns)
+                if own[0] != block:
+                    block, held, index = own[0], [], None
+                if kind[0] == 0:
+                    held.append((ids, x, code))
+                elif held:
+                    if index is None:
+                        all_ids, all_x, all_code = (np.concatenate(c) for c in zip(*held, strict=True))
+                        index = MultiIndex(all_code)
+                        held = [(all_ids, all_x, all_code)]
+                    yield from search(all_ids, all_x, index, ids, x, code)
 
     return run
 
 
-def _meet(index: DataFrame, queries: DataFrame, rows: int, asked: int, radius: int, k: int) -> DataFrame:
-    """Every block of queries against every block of rows, then each query's k nearest of what the blocks found."""
-    row_blocks, query_blocks = max(1, -(-rows // BLOCK_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = index.select("vec_id", "x", "code", F.pmod(F.xxhash64("vec_id", "x"), F.lit(row_blocks)).alias("row_block"), all_of(query_blocks).alias("query_block"))
-    right = queries.select("query_id", "x", "code", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("query_block"), all_of(row_blocks).alias("row_block"))
-    both = left.groupBy("row_block", "query_block").cogroup(right.groupBy("row_block", "query_block"))
-    found = both.applyInArrow(_search_block(radius, k), "query_id long, vec_id long, score double, bits long")
+def _meet(index: DataFrame, queries: DataFrame, rows: int, length: int, radius: int, k: int) -> DataFrame:
+    """Every query against every block of rows, then each query's k nearest of what the blocks found."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-rows // BLOCK_ROWS), min(tasks, -(-rows // LEAST_ROWS)), 1)
+    own = index.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "x", "code")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "x", "code")
+    dealt = own.unionByName(asked).repartition(max(blocks, tasks), "block").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(_search(length, radius, k), FOUND)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("bits").alias("bits"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -211,18 +266,18 @@ def nearest(embeddings: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
         return spark.createDataFrame([], out)
     codes = spark.sparkContext.broadcast(Codes(sample))  # matrices of fixed size
     index = work.keep(rows.mapInArrow(_encode(length, codes), "vec_id long, x binary, code binary"), "index")
+    codes.destroy()
     total = index.count()
     as_queries = lambda df: df.select(F.col("vec_id").alias("query_id"), "x", "code").dropDuplicates(["query_id"])
     some = as_queries(index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION))
-    away = [r["bits"] for r in _meet(index, some, total, CALIBRATION, -1, k).select("bits").collect()]  # k for each calibration query
+    away = [r["bits"] for r in _meet(index, some, total, length, -1, k).select("bits").collect()]  # k for each calibration query
     radius = int(np.quantile(away, COVERED, method="higher")) if away else BITS
     queries = work.keep(as_queries(index.where(is_query(F.col("vec_id")))), "queries")
-    asked = queries.count()
-    found = work.keep(_meet(index, queries, total, asked, radius, k), "found")
+    found = work.keep(_meet(index, queries, total, length, radius, k), "found")
     short = queries.join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     short = work.keep(short, "short")
-    if left := short.count():
-        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_meet(index, short, total, left, -1, k))
+    if not short.isEmpty():
+        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_meet(index, short, total, length, -1, k))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

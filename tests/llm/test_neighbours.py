@@ -62,4 +62,28 @@ def test_index_finds_every_code_within_the_radius():
     index = neighbours.MultiIndex(codes)
     away = np.bitwise_count(codes ^ codes[0]).sum(1)
     for radius in (0, 3, 7, 8, 20, 39, 64, neighbours.BITS):
-        assert index.within(codes[0], radius).tolist() == np.flatnonzero(away <= radius).tolist()
+        assert np.flatnonzero(index.within(codes[:1], radius)[0]).tolist() == np.flatnonzero(away <= radius).tolist()
+
+
+def test_extreme_magnitudes_take_part(spark):
+    rng = np.random.default_rng(43)
+    rows = [(k, (rng.standard_normal(8) * scale).tolist()) for k, scale in zip(range(40, 70), [1e200, 1e-200, 1.0, 1e-310, 1e300] * 6)]
+    got = collect(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0))
+    plain = [(i, v / np.abs(v).max()) for i, v in ((i, np.array(v)) for i, v in rows)]
+    score = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    x = dict(plain)
+    want = sorted(((score(x[50], v), i) for i, v in plain if i != 50), reverse=True)[:5]
+    assert [i for i, _ in got[50]] == [i for _, i in want] and all(abs(s - w) < 1e-12 for (_, s), (w, _) in zip(got[50], want, strict=True))
+
+
+def test_blocks_and_tiles_of_any_size_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(44)
+    rows = [(k, rng.standard_normal(6).tolist()) for k in range(300)] + [(7, rng.standard_normal(6).tolist())] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows[:300] + rows[300:301])
+    for least, tile in ((1, 1), (64, 100), (4096, 1 << 20)):
+        monkeypatch.setattr(neighbours, "LEAST_ROWS", least)
+        monkeypatch.setattr(neighbours, "TILE", tile)
+        got = collect(neighbours.nearest(df, lambda v: v % 50 == 0))
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+        assert all(len(v) == 5 and len({i for i, _ in v}) == 5 for v in got.values())
