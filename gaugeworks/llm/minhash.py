@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import bloom
 from gaugeworks.llm.components import components
-from gaugeworks.llm.words import U, mix, pieces, shingles, texts_of, words
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.words import U, mix, pieces, ranges, shingles, texts_of, words
+from gaugeworks.llm.workspace import Workspace, release, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 27, 5
-#: Shingles of a block of a family; a longer document is a block of its own.
-BLOCK_SHINGLES = 1 << 19
+#: Shingles and members of a block of a family; a longer document is a block of its own.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 19, 1 << 10
+#: Pairs of members that one shingle may make before it goes through a matrix product.
+FEW = 64
 #: -log of the chance that a document must go on after its first stop
 SURE = 3.0
 SALT = [int(x) for x in mix(np.arange(1, 10, dtype=U) * U(0x9E3779B97F4A7C15))]
@@ -128,6 +130,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(bands: int, rows: int):
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, doc_ids = texts_of(batch.column("text")), batch.column("doc_id")
@@ -167,6 +170,7 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verify(similarity: float):
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))
@@ -194,14 +198,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = work.keep(members.join(crowded, "bucket"), "members-0")
     # texts are shuffled only for representatives that share a bucket with another
-    reps = work.keep(bloom.keep_possible(texts, "doc_id", bloom.build(members, "rep")), "texts")
+    reps = bloom.keep_possible(texts, "doc_id", bloom.build(members, "rep"), work, "possible")
+    # a doc_id that stands on several texts speaks for all of them
+    reps = work.keep(reps.withColumn("digest", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).dropDuplicates(["doc_id", "digest"]), "texts")
+    work.drop("possible")
     # 1. every member against its bucket's hub
     hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("hub"))
     stars = members.join(hubs, "bucket").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("size").alias("n"), F.col("hub.size").alias("m")).distinct()
     stars = stars.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
     left = stars.join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = work.keep(full.mapInArrow(_verify(similarity), "a long, b long, similarity double"), "links-0")
+    links = work.keep(full.mapInArrow(_verify(similarity), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links-0")
     labels = components(links.select("a", "b").union(same_id), work, "components-0")
     # 2. buckets that still hold several components: each family of such buckets, block against block
     now = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
@@ -209,7 +216,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     open_ = work.keep(now.join(open_, "bucket").select("rep", "label", "hub").distinct(), "open")
     if not open_.isEmpty():
         family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")), work, "families")
-        more = work.keep(_block_links(open_, family, reps, similarity), "links-1")
+        more = work.keep(_block_links(open_, family, reps, similarity, work), "links-1")
         links = links.union(more)
         if not more.isEmpty():
             labels = components(links.select("a", "b").union(same_id), work, "components-1")
@@ -220,10 +227,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return out.select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+@tidy
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A multiset as a set: a shingle's k-th occurrence is an item of its own, so overlap is a plain count."""
     for batch in batches:
-        reps = batch.column("doc_id").cast(pa.int64())
+        reps, digests = batch.column("doc_id").cast(pa.int64()), batch.column("digest")
         for at, some in pieces(texts_of(batch.column("text"))):
             hashes, _, _, offsets = words(some)
             items, counts, bounds = multiset(*shingles(hashes, offsets, SHINGLE))
@@ -232,31 +240,43 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = mix(np.repeat(items, counts) + nth.astype(U) * U(SALT[7]))
             ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
             yield pa.RecordBatch.from_pydict(
-                {"rep": reps.slice(at, len(some)), "size": pa.array(np.diff(ends), pa.int64()), "items": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())}
+                {"rep": reps.slice(at, len(some)), "digest": digests.slice(at, len(some)), "size": pa.array(np.diff(ends), pa.int64()), "items": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())}
             )
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Size of the intersection of each set on the left with each on the right: products of 0-1 matrices, some items at a time."""
-    out = np.zeros((len(left), len(right)), np.float32)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """Size of the intersection of each set on the left with each on the right. An item that few pairs share adds to each of
+    them; the items of many go through products of 0-1 matrices, some at a time."""
+    n, m = len(left), len(right)
     a, b = (np.concatenate(x) if x else np.zeros(0, U) for x in (left, right))
     both = np.intersect1d(a, b)
-    sides = []
+    rows, bounds = [], []
     for sets, flat in ((left, a), (right, b)):
         row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         at = np.searchsorted(both, flat)
         ok = at < len(both)
         ok[ok] = both[at[ok]] == flat[ok]
         order = np.argsort(at[ok], kind="stable")
-        sides.append((row[ok][order], at[ok][order]))
-    for first in range(0, len(both), columns):
-        some = []
-        for (row, at), n in zip(sides, out.shape, strict=True):
-            lo, hi = np.searchsorted(at, [first, first + columns])
-            m = np.zeros((n, min(columns, len(both) - first)), np.float32)
-            m[row[lo:hi], at[lo:hi] - first] = 1
-            some.append(m)
-        out += some[0] @ some[1].T
+        rows.append(row[ok][order])
+        bounds.append(np.searchsorted(at[ok][order], np.arange(len(both) + 1)))
+    counts = [np.diff(x) for x in bounds]
+    out = np.zeros(n * m, np.float32)
+    few = np.flatnonzero(counts[0] * counts[1] <= FEW)
+    for some in np.array_split(few, max(1, len(few) * FEW // 4_000_000 + 1)):
+        each = counts[1][some]
+        x = ranges(bounds[0][:-1][some], counts[0][some])
+        y = ranges(np.repeat(bounds[1][:-1][some], counts[0][some]), np.repeat(each, counts[0][some]))
+        pair = np.repeat(rows[0][x], np.repeat(each, counts[0][some])) * m + rows[1][y]
+        out += np.bincount(pair, minlength=n * m).astype(np.float32)
+    out = out.reshape(n, m)
+    many = np.flatnonzero(counts[0] * counts[1] > FEW)
+    for first in range(0, len(many), columns):
+        some, sides = many[first : first + columns], []
+        for row, bound, count, size in zip(rows, bounds, counts, (n, m), strict=True):
+            side = np.zeros((size, len(some)), np.float32)
+            side[row[ranges(bound[:-1][some], count[some])], np.repeat(np.arange(len(some)), count[some])] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
     return out
 
 
@@ -272,27 +292,38 @@ def _compare_blocks(similarity: float):
         union = size[l][:, None] + size[r][None, :] - shared
         hit = (shared >= similarity * union) & (label[l][:, None] != label[r][None, :]) & (union > 0)
         i, j = np.nonzero(hit)
+        release()
         return pa.table({"a": pa.array(rep[l[i]], pa.int64()), "b": pa.array(rep[r[j]], pa.int64()), "similarity": pa.array((shared[i, j] / union[i, j]).astype(float))})
 
     return compare
 
 
-def _block_links(open_: DataFrame, family: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """All links between different components within families, exactly. Blocks hold a bounded number of shingles; members
-    lie by component, and two blocks of one and the same component never meet."""
+def _block_links(open_: DataFrame, family: DataFrame, reps: DataFrame, similarity: float, work: Workspace) -> DataFrame:
+    """All links between different components within families, exactly. Blocks hold a bounded number of shingles and members;
+    members lie by component, and two blocks of one and the same component never meet. A family may hold most rows: its
+    places are running sums within ranges of all members, plus the sums of the family's ranges before."""
     one = open_.select("rep", "label").distinct().join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
     texts = one.join(reps.withColumnRenamed("doc_id", "rep"), "rep")
-    sets = texts.select(F.col("rep").alias("doc_id"), "text").mapInArrow(_expand, "rep long, size long, items binary").dropDuplicates(["rep"])
-    rows = sets.join(one, "rep")
-    order = Window.partitionBy("family").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.select("family", "label", "rep", "size").withColumn("block", F.floor((F.sum("size").over(order) - F.col("size")) / BLOCK_SHINGLES))
+    sets = work.keep(texts.select(F.col("rep").alias("doc_id"), "digest", "text").mapInArrow(_expand, "rep long, digest string, size long, items binary"), "sets")
+    order = ["family", "label", "rep", "digest"]
+    dealt = sets.select("rep", "digest", "size").join(one, "rep").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = work.keep(dealt.withColumn("weight", F.col("size") + BLOCK_SHINGLES // BLOCK_MEMBERS), "dealt")
+    sums = dealt.groupBy("family", "part").agg(F.sum("weight").alias("sum"))
+    before = Window.partitionBy("family").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = work.keep(sums.select("family", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before")), "before")
+    inside = Window.partitionBy("part", "family").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.col("before") + F.sum("weight").over(inside) - F.col("weight")
+    placed = dealt.join(sums, ["family", "part"]).select("family", "label", "rep", "digest", F.floor(place / BLOCK_SHINGLES).alias("block"))
+    placed = work.keep(placed, "placed")
     blocks = placed.groupBy("family", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     meet = blocks.alias("x").join(blocks.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")))
     meet = meet.where("not (x.low = x.high and y.low = y.high and x.low = y.low)").select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))
     asked = meet.select("family", "i", "j", F.explode(sides).alias("s")).select("family", "i", "j", "s.side", "s.block")
-    given = placed.select("family", "block", "rep", "label").join(asked, ["family", "block"]).join(sets.select("rep", "items"), "rep")
-    return given.select("family", "i", "j", "side", "rep", "label", "items").groupBy("family", "i", "j").applyInArrow(_compare_blocks(similarity), "a long, b long, similarity double")
+    given = placed.join(asked, ["family", "block"]).join(sets.select("rep", "digest", "items"), ["rep", "digest"])
+    given = given.select("family", "i", "j", "side", "rep", "label", "items").groupBy("family", "i", "j")
+    found = given.applyInArrow(_compare_blocks(similarity), "a long, b long, similarity double")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

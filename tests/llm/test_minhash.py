@@ -112,3 +112,46 @@ def test_components_against_union_find(spark):
             label[a] = label[b] = low
     got = {r["node"]: r["label"] for r in rows_of(components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")))}
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_every_link_on_the_tables_is_in_one_class(spark):
+    """All pairs of the documents at 0.8 or more, by an inverted index of whole texts, against the classes."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(minhash.op6_near_duplicates(spark, folder))}
+    bags = {i: bag(t) for i, t in texts.items()}
+    holders = {}
+    for i, b in bags.items():
+        for s in b:
+            holders.setdefault(s, []).append(i)
+    shared = Counter()
+    for s, ids in holders.items():
+        for k, i in enumerate(ids):
+            for j in ids[:k]:
+                shared[min(i, j), max(i, j)] += min(bags[i][s], bags[j][s])
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    near = {p for p, n in shared.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n)}
+    assert len(near) >= 50 and all(got[i] == got[j] for i, j in near)
+    # and nothing else is joined but what such links and equal texts join
+    label = {i: i for i in texts}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    same = {}
+    for i, t in texts.items():
+        same.setdefault(t or "", []).append(i)
+    for i, j in [*near, *[(v[0], w) for v in same.values() for w in v[1:]]]:
+        a, b = sorted((find(i), find(j)))
+        label[b] = a
+    assert got == {i: find(i) for i in texts}
+
+
+def test_shared_counts_against_sets():
+    rng = np.random.default_rng(9)
+    for universe in (20, 3000):
+        left, right = ([np.unique(rng.integers(0, universe, int(rng.integers(0, 60)))).astype(np.uint64) for _ in range(n)] for n in (37, 53))
+        got = minhash.shared_counts(left, right, 16)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
