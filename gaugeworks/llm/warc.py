@@ -7,32 +7,43 @@ on writing, payloads under one SHA-256 must agree in length and SHA-1; on readin
 stored bytes are computed again.
 
 Of records with equal payloads the one with the smallest page_id is the response; the others are revisit
-records, whose block is empty and whose header names the response. Rows that repeat that page_id with the
-same payload are responses too. A popular payload may be a third of all records: it is stored once, and
-read back over as many salted copies as its number of records asks for.
+records, whose block is empty (its digest and length are the block's, the payload digest is the payload's) and whose
+header names the response. Rows that repeat that page_id with the same payload are responses too. With
+`least_bytes`, smaller payloads are all responses.
+
+A record's id is `urn:page:`, the page_id (or none) and the row's number in the input, so that no two records share
+one. The capture time is not in the input: WARC-Date is a parameter, the same for all records.
+
+A popular payload may be a third of all records: a task compresses it once, it is stored once, and read back over as
+many salted copies as its number of records asks for.
 
 Cases: a null html is an empty payload; a null url is an empty target; rows with null page_id are
-records of their own, after all others in the order; an empty table gives an empty archive; line ends in
-a url are percent-encoded, as a header line can't hold them; extra columns are not read.
+records of their own, after all others in the order; any 64-bit page_id is kept; an empty table gives an empty archive;
+line ends in a url are percent-encoded, as a header line can't hold them; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.workspace import Workspace, tidy
 
 #: Records that share a salted copy of their payload when read back.
 RECORDS_PER_COPY = 1000
-NO_PAGE = (1 << 63) - 1
+#: Digests of payloads that a task remembers to have compressed.
+REMEMBERED = 200_000
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: WARC-Date of records whose capture time is unknown.
+UNDATED = "1970-01-01T00:00:00Z"
 
 
 @dataclass(frozen=True)
@@ -41,10 +52,20 @@ class Archive:
     payloads: DataFrame
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(payload: pd.Series) -> pd.Series:
-    zstd = zstandard.ZstdCompressor(level=3)
-    return payload.map(zstd.compress)
+@tidy
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each payload of a partition as a zstandard frame, the first time that it comes."""
+    zstd, seen = zstandard.ZstdCompressor(level=3), set()
+    for batch in batches:
+        digests, fresh = batch.column("sha256").to_pylist(), []
+        for k, digest in enumerate(digests):
+            if digest not in seen:
+                seen.add(digest)
+                fresh.append(k)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        payloads = batch.column("payload")
+        yield pa.RecordBatch.from_pydict({"sha256": pa.array([digests[k] for k in fresh], pa.string()), "frame": pa.array([zstd.compress(payloads[k].as_buffer()) for k in fresh], pa.binary())})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -60,49 +81,51 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_uri(page_id: Column) -> Column:
-    return F.concat(F.lit("urn:page:"), F.when(page_id == NO_PAGE, "none").otherwise(page_id.cast("string")))
+def record_uri(page: Column, row: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
-def header(page: Column, url: Column, kind: Column, first: Column, sha1: Column, sha256: Column, length: Column) -> Column:
-    """The exact header of a record, as text."""
+def header(record: Column, date: str) -> Column:
+    """The exact header, as text, of a record: a struct of page, row, url, kind, first (page and row), sha1, sha256, length."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
-    revisit = kind == "revisit"
+    revisit = record["kind"] == "revisit"
+    block_sha256 = F.when(revisit, F.sha2(F.encode(F.lit(""), "utf-8"), 256)).otherwise(record["sha256"])
     return F.concat(
         F.lit(f"WARC/1.1{EOL}"),
-        line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<"), record_uri(page), F.lit(">"))),
-        line("WARC-Target-URI", F.replace(F.replace(F.replace(url, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), sha256)),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<"), record_uri(first), F.lit(">"))))).otherwise(""),
+        line("WARC-Type", record["kind"]),
+        line("WARC-Record-ID", record_uri(record["page"], record["row"])),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.replace(F.replace(F.replace(record["url"], F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), record["sha1"])),
+        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), block_sha256)),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_uri(record["first"]["page"], record["first"]["row"])))).otherwise(""),
         F.lit(f"Content-Type: text/html; charset=utf-8{EOL}"),
-        line("Content-Length", F.when(revisit, "0").otherwise(length.cast("string"))),
+        line("Content-Length", F.when(revisit, "0").otherwise(record["length"].cast("string"))),
     )
 
 
-def write_archive(pages: DataFrame, folder: str) -> Archive:
+def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = UNDATED) -> Archive:
     """Write the two tables below folder."""
     spark = pages.sparkSession
+    work = Workspace(spark, "warc-scratch")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha256", F.sha2("payload", 256)).withColumn("sha1", base32_sha1(F.col("payload"))).withColumn("length", F.octet_length("payload").cast("long"))
-    light = rows.drop("payload")
+    rows = pages.select(F.col("page_id").cast("long").alias("page"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("sha256", F.sha2("payload", 256))
+    light = rows.select("page", "url", "sha256", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("length"), F.monotonically_increasing_id().alias("row"))
+    light = work.keep(light, "light")
     known = light.groupBy("sha256").agg(
-        F.min("page").alias("first"), F.count("*").alias("holders"), F.min("sha1").alias("sha1_"), F.max("sha1").alias("sha1_max"), F.min("length").alias("length_"), F.max("length").alias("length_max")
+        F.min(F.struct(F.col("page").isNull().alias("unnamed"), "page", "row")).alias("first"), F.count("*").alias("holders"), F.min("sha1").alias("sha1_"), F.max("sha1").alias("sha1_max"), F.min("length").alias("length_"), F.max("length").alias("length_max")
     )
     agree = (F.col("sha1_") == F.col("sha1_max")) & (F.col("length_") == F.col("length_max"))
-    known = known.select("sha256", F.when(agree, F.col("first")).otherwise(F.raise_error(F.lit("two payloads under one SHA-256"))).alias("first"), "holders")
-    kind = F.when((F.col("page") == F.col("first")), "response").otherwise("revisit")
-    records = light.join(known, "sha256").withColumn("kind", kind)
-    records.select(
-        F.encode(header(F.col("page"), F.col("url"), F.col("kind"), F.col("first"), F.col("sha1"), F.col("sha256"), F.col("length")), "utf-8").alias("header"),
-        "sha256",
-        "holders",
-        F.xxhash64("page", "url").alias("spread"),
-    ).write.mode("overwrite").parquet(f"{folder}/records")
-    once = rows.select("sha256", packed("payload").alias("frame")).dropDuplicates(["sha256"])  # equal bytes, as just verified
+    # written, so that the planner can split the records of a payload that very many share
+    known = work.keep(known.select("sha256", F.when(agree, F.col("first")).otherwise(F.raise_error(F.lit("two payloads under one SHA-256"))).alias("first"), "holders"), "known")
+    own = (F.col("page") == F.col("first.page")) | (F.col("row") == F.col("first.row")) | (F.col("length") < least_bytes)
+    records = light.join(known, "sha256").withColumn("kind", F.when(own, "response").otherwise("revisit"))
+    record = F.struct("page", "row", "url", "kind", "first", "sha1", "sha256", "length")
+    records.select(F.encode(header(record, date), "utf-8").alias("header"), "sha256", "holders", F.xxhash64("row").alias("spread")).write.mode("overwrite").parquet(f"{folder}/records")
+    once = rows.select("sha256", "payload").mapInArrow(_frames, "sha256 string, frame binary").dropDuplicates(["sha256"])  # equal bytes, as just verified
     once.join(known.select("sha256", "holders"), "sha256").write.mode("overwrite").parquet(f"{folder}/payloads")
+    work.remove()
     return read_archive(spark, folder)
 
 
@@ -134,7 +157,7 @@ def field(header_text: Column, name: str) -> Column:
 
 
 def page_of(uri: Column) -> Column:
-    return F.regexp_extract(uri, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return F.regexp_extract(uri, r"^<urn:page:(-?\d+):\d+>$", 1).try_cast("long")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
