@@ -25,22 +25,26 @@ SHARDS = 24
 ROW_OVERHEAD = 8
 
 
-def sized(docs: DataFrame, overhead: int = ROW_OVERHEAD) -> DataFrame:
-    """doc_id, size and text_crc32 of each row, with a tie-break."""
+PLACED = ("size", "text_crc32", "shard", "slot")
+
+
+def sized(docs: DataFrame, overhead: int = ROW_OVERHEAD, whole: bool = False) -> DataFrame:
+    """doc_id, size and text_crc32 of each row, with a tie-break; whole: and the row itself, as a struct."""
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + overhead).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("tie"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole),
     )
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVERHEAD) -> DataFrame:
-    """doc_id, size, text_crc32, shard (0 to shards - 1) and slot (the row's place in its shard, from 0)."""
+def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVERHEAD, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard (0 to shards - 1) and slot (the row's place in its shard, from 0); whole: and row."""
     work = Workspace(docs.sparkSession, "sharding")
     order = ["doc_id", "size", "text_crc32", "tie"]
-    dealt = sized(docs, overhead).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = sized(docs, overhead, whole).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = work.keep(dealt, "ranges")  # the deal is fixed before its totals are taken
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before, bytes_, rows = [], 0, 0
@@ -59,20 +63,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVERHEAD)
         "text_crc32",
         F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(2 * max(bytes_, 1)))).cast("int").alias("shard"),
         (F.col("rows_before") + F.row_number().over(in_part) - 1).alias("place"),
+        *(["row"] * whole),
     )
     placed = work.keep(placed, "placed")
+    work.drop("ranges")
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # a row for each shard
-    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
+    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"), *(["row"] * whole))
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
-    """Write whole rows below folder/shard=k in slot order; return the assignment.
-
-    Rows find their shard by doc_id, so doc_ids must be unique here."""
-    placed = assign(docs, shards)
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+    """Write whole rows below folder/shard=k in slot order; return the assignment. A row is carried through the deal, so
+    null and repeated doc_ids are kept as they are. Columns of docs that are named as the assignment's own are left out."""
+    placed = assign(docs, shards, whole=True)
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in PLACED]
+    rows = placed.select(*own, *PLACED)
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(folder)
-    return placed
+    return placed.drop("row")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

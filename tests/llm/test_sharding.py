@@ -39,3 +39,22 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     sharding.write_shards(df, f"file://{tmp_path}/s", 4)
     back = spark.read.parquet(f"file://{tmp_path}/s")
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+def test_written_shards_keep_nulls_and_repeats(spark, tmp_path):
+    rows = [(None, "n"), (None, "n"), (3, "a"), (3, "a"), (3, "b"), (4, None)]
+    placed = sharding.write_shards(documents(spark, rows).selectExpr("*", "'x' as slot", "7 as other"), f"file://{tmp_path}/s", 2)
+    back = rows_of(spark.read.parquet(f"file://{tmp_path}/s"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in back), key=key) == sorted(rows, key=key) and {r["other"] for r in back} == {7}
+    assert sorted((r["shard"], r["slot"], r["text_crc32"]) for r in back) == sorted((r["shard"], r["slot"], r["text_crc32"]) for r in rows_of(placed))
+
+
+def test_shards_against_plain_sums(spark, sf):
+    """The shard of every row, computed anew from the sorted rows."""
+    docs = sorted((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    total, before, want = sum(s for _, s, _ in docs), 0, {}
+    for doc_id, size, _ in docs:
+        want[doc_id] = min(23, (2 * before + size) * 24 // (2 * total))
+        before += size
+    assert {r["doc_id"]: r["shard"] for r in rows_of(sharding.op3_sharding(spark, sf))} == want
