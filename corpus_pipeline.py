@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontam, minhash, packing, passages, quality
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.workspace import Workspace, scope
 
 
 def _without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
@@ -63,7 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each written and read again."""
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with scope():  # what the stage wrote for itself goes with it
+            docs = work.keep(stage(spark, docs, sf_dir), name)
+        work.drop(*before)
+        before = [name]
     return docs
