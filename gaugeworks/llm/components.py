@@ -22,12 +22,12 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
         # large star: each larger neighbour joins the smallest of the node and its neighbours
         low = work.keep(both.groupBy("u").agg(F.min("v").alias("low")), f"{name}-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
-        large = large.distinct()
+        large = work.keep(large.distinct(), f"{name}-large")  # read twice
         # small star: each smaller neighbour, and the node itself, joins the smallest neighbour
         low = work.keep(large.groupBy("u").agg(F.min("v").alias("low")), f"{name}-lower")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
         nxt = work.keep(small.select("e.u", "e.v").where("u <> v").distinct(), f"{name}-{k + 1}")
-        work.drop(f"{name}-{k}", f"{name}-low", f"{name}-lower")
+        work.drop(f"{name}-{k}", f"{name}-low", f"{name}-large", f"{name}-lower")
         pairs, k = nxt, k + 1
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
