@@ -201,8 +201,9 @@ _BOX = "(SELECT p_partkey, p_size / 10.0 AS w, p_retailprice / 1000.0 AS h, 1.0
 n AS (SELECT p_partkey, w, h, e, list_sort([k * (h * h + e * e) / s, k * (w * w + e * e) / s, k * (w * w + h * h) / s]) AS m FROM m)
 SELECT p_partkey::VARCHAR AS shape, round(w * h * e, 6) AS volume, round(round(m[1], 6), 4) AS m1, round(round(m[2], 6), 4) AS m2, round(round(m[3], 6), 4) AS m3, round(w / 2, 6) AS x, round(sqrt(w * w + h * h + e * e) / 2, 6) AS gyration FROM n""")
 def mesh_measures(spark, d):
+    """Moments of six digits may lie halfway between two of four: as in SQL, the double product decides, not the decimal digits."""
     got = M.measure(*box_meshes(spark, d))
-    moments = [F.round(F.get("moments", F.lit(k)), 4).alias(f"m{k + 1}") for k in range(3)]
+    moments = [(F.round(F.get("moments", F.lit(k)) * 1e4) / 1e4).alias(f"m{k + 1}") for k in range(3)]
     return got.select("shape", F.round("volume", 6).alias("volume"), *moments, F.round(F.get("centroid", F.lit(0)), 6).alias("x"), F.round("gyration", 6).alias("gyration"))
 
 

@@ -40,3 +40,14 @@ def test_query(spark, duck, sf, name):
         assert got == table(rel.columns, rel.fetchall())
     else:
         assert got[1]
+
+
+def test_moments_halfway_between_digits(spark, tmp_path):
+    """Boxes with a moment that ends in 50 at six digits: the first three go down in SQL, the others up."""
+    parts = "(1, 19, 970.6), (2, 3, 992.2), (3, 14, 944.5), (4, 5, 901.8), (5, 5, 904.1)"
+    con = duckdb.connect()
+    con.sql(f"create table part as select k::bigint as p_partkey, s::int as p_size, p::double as p_retailprice from (values {parts}) x(k, s, p)")
+    con.sql(f"copy part to '{tmp_path}/part.parquet' (format parquet)")
+    df = catalog.QUERIES["mesh_measures"](spark, str(tmp_path))
+    rel = con.sql(catalog.ORACLES["mesh_measures"])
+    assert table(df.columns, df.collect()) == table(rel.columns, rel.fetchall())
