@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import fixed
 from gaugeworks.functions.scalar import rail_class, type_compatible
-from gaugeworks.operators.kernels import heaviest_matching
+from gaugeworks.operators.kernels import heaviest_pairs
 
 
 def validate(component: DataFrame, terminal: DataFrame, net: DataFrame, incidence: DataFrame) -> DataFrame:
@@ -99,6 +99,13 @@ def candidates(pred: DataFrame, true: DataFrame, tolerance: float = fixed.COMPON
     return pairs.where(ok).select("board", F.col("a").alias("p"), F.col("b").alias("g"), "distance", (F.col("tolerance") - F.col("distance")).alias("weight"))
 
 
+def solved(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one group's candidate pairs (p, g, weight) that are in its heaviest matching."""
+    pairs = pairs.sort_values(["p", "g"])
+    rows, columns = (np.unique(pairs[side], return_inverse=True)[1] for side in "pg")
+    return pairs[heaviest_pairs(rows, columns, pairs["weight"].to_numpy())]
+
+
 def match(edges: DataFrame, group: str | list[str] = "board") -> DataFrame:
     """Heaviest matching of candidate pairs (group, p, g, weight) of each group."""
     groups = [group] if isinstance(group, str) else group
@@ -106,14 +113,7 @@ def match(edges: DataFrame, group: str | list[str] = "board") -> DataFrame:
     fields = [*groups, "p", "g", "weight"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "g"])
-        p, rows = np.unique(pdf["p"], return_inverse=True)
-        g, columns = np.unique(pdf["g"], return_inverse=True)
-        weights = np.zeros((len(p), len(g)))
-        weights[rows, columns] = pdf["weight"]
-        got = heaviest_matching(weights)
-        chosen = pdf[got[rows] == columns]
-        return chosen[fields]
+        return solved(pdf)[fields]
 
     return edges.select(*fields).groupBy(*groups).applyInPandas(solve, ", ".join(f"{f} {kinds[f]}" for f in fields))
 
@@ -125,12 +125,8 @@ def match_many(edges: DataFrame, groups: list[str]) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = []
-        for _, own in pdf.sort_values([*groups, "p", "g"]).groupby(groups, sort=False):
-            p, rows = np.unique(own["p"], return_inverse=True)
-            g, columns = np.unique(own["g"], return_inverse=True)
-            weights = np.zeros((len(p), len(g)))
-            weights[rows, columns] = own["weight"]
-            kept.append(own[heaviest_matching(weights)[rows] == columns])
+        for _, own in pdf.groupby(groups, sort=False):
+            kept.append(solved(own))
         return pd.concat(kept)[fields]
 
     return edges.select(*fields).groupBy(groups[0], F.pmod(F.xxhash64(*groups[1:]), F.lit(16))).applyInPandas(lambda pdf: solve(pdf), ", ".join(f"{f} {kinds[f]}" for f in fields))
