@@ -1,3 +1,6 @@
+import itertools
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -94,6 +97,20 @@ def test_kabsch_and_outliers():
     assert np.allclose(r, turn) and inside.sum() == 9
 
 
+def test_triples_are_chosen_without_a_list_of_all():
+    """400 points have ten million triples; the chosen ones are those of the list."""
+    for n in (3, 7, 12):
+        assert [kernels.triple_at(k, n) for k in range(n * (n - 1) * (n - 2) // 6)] == list(itertools.combinations(range(n), 3))
+    a = np.random.default_rng(3).random((400, 3))
+    b = a + [1, 2, 3]
+    b[:100] += 5
+    tracemalloc.start()
+    r, inside = kernels.robust_fit(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(r, np.eye(3)) and inside.sum() == 300 and peak < 5e6
+
+
 def test_sampling_is_seeded_and_on_the_surface():
     p = kernels.sample_surface(BOX, TRI, 500)
     assert np.array_equal(p, kernels.sample_surface(BOX, TRI, 500)) and np.isclose(np.minimum(np.abs(p), np.abs(1 - p)).min(1), 0).all()
