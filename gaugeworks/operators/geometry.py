@@ -12,10 +12,12 @@ from gaugeworks.operators import kernels
 
 
 def mesh_facts(vertex: DataFrame, tri: DataFrame) -> DataFrame:
-    """shape, area, volume, triangles. vertex(shape, vid, x, y, z), tri(shape, tid, a, b, c)."""
+    """shape, area, volume, triangles. vertex(shape, vid, x, y, z), tri(shape, tid, a, b, c).
+
+    Vertices are never broadcast: the size that is told of generated rows is that of the rows they come from."""
     rows = tri
     for k in "abc":
-        rows = rows.join(vertex.select("shape", F.col("vid").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"]), ["shape", k])
+        rows = rows.join(vertex.select("shape", F.col("vid").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"]).hint("merge"), ["shape", k])
     u, v = ([F.col(f"{k}{c}") - F.col(f"a{c}") for c in "xyz"] for k in "bc")
     cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
     n = cross(u, v)

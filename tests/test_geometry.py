@@ -6,7 +6,7 @@ import pytest
 
 from gaugeworks.operators import geometry as G
 from gaugeworks.operators import kernels
-from gaugeworks.plans.geometry_queries import CORNERS, FACES
+from gaugeworks.plans.geometry_queries import CORNERS, FACES, box_meshes
 
 BOX, TRI = np.array(CORNERS, float), np.array(FACES)
 
@@ -125,3 +125,9 @@ def test_near_centroids(spark):
     df = spark.createDataFrame(rows, "board string, id long, x double, y double, z double")
     got = {(r.a, r.b) for r in G.centroid_pairs(df, "board", 0.2).collect()}
     assert got == {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and np.linalg.norm(np.subtract(a[2:], b[2:])) <= 0.2}
+
+
+def test_vertices_are_never_broadcast(spark):
+    """The size that is told of generated vertices is that of the few rows they come from."""
+    v, t = box_meshes(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in G.mesh_facts(v, t)._jdf.queryExecution().executedPlan().toString()
