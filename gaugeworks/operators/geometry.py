@@ -11,6 +11,13 @@ from gaugeworks.functions import fixed
 from gaugeworks.operators import kernels
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to a number of partitions that isn't lowered by their size: for rows that are small beside what is made
+    of them in the same task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def mesh_facts(vertex: DataFrame, tri: DataFrame) -> DataFrame:
     """shape, area, volume, triangles. vertex(shape, vid, x, y, z), tri(shape, tid, a, b, c).
 
@@ -69,13 +76,16 @@ def weld(vertex: DataFrame, tri: DataFrame, pitch: float) -> tuple[DataFrame, Da
 
 
 def edge_facts(tri: DataFrame) -> DataFrame:
-    """shape, V, E, F, euler, closed (every edge has two faces) of welded meshes."""
-    pairs = F.array(*[F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
-    edges = tri.select("shape", F.explode(pairs).alias("e")).groupBy("shape", "e").agg(F.count("*").alias("n"))
-    edges = edges.groupBy("shape").agg(F.count("*").alias("edges"), F.bool_and(F.col("n") == 2).alias("closed"))
-    vertices = tri.select("shape", F.explode(F.array("a", "b", "c")).alias("v")).groupBy("shape").agg(F.count_distinct("v").alias("vertices"))
-    faces = tri.groupBy("shape").agg(F.count("*").alias("faces"))
-    return vertices.join(edges, "shape").join(faces, "shape").withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
+    """shape, V, E, F, euler, closed (every edge has two faces) of welded meshes. Each triangle gives its edges and its vertices,
+    dealt out before they are counted: most occur too seldom for a count beforehand."""
+    pairs = [F.struct(F.lit(True).alias("edge"), F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))]
+    corners = [F.struct(F.lit(False).alias("edge"), F.col(p).alias("p"), F.col(p).alias("q")) for p in "abc"]
+    rows = spread(tri.select("shape", "a", "b", "c"), "shape").select("shape", F.inline(F.array(*pairs, *corners)))
+    edge, n = F.col("edge"), F.col("n")
+    found = rows.groupBy("shape", "edge", "p", "q").agg(F.count("*").alias("n")).groupBy("shape").agg(
+        F.count_if(~edge & F.col("p").isNotNull()).alias("vertices"), F.count_if(edge).alias("edges"), F.bool_and(~edge | (n == 2)).alias("closed"), (F.sum(F.when(edge, n)) / 3).cast("long").alias("faces")
+    )
+    return found.withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
 def per_mesh(vertex: DataFrame, tri: DataFrame, kernel, schema: str) -> DataFrame:

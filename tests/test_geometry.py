@@ -131,3 +131,10 @@ def test_vertices_are_never_broadcast(spark):
     """The size that is told of generated vertices is that of the few rows they come from."""
     v, t = box_meshes(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in G.mesh_facts(v, t)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_dealt_out_before_they_are_counted(spark):
+    """A count in the task that reads the triangles would hold nearly all of their edges."""
+    tri = spark.createDataFrame([("s", k, *map(int, x)) for k, x in enumerate(TRI)], "shape string, tid int, a int, b int, c int")
+    plan = G.edge_facts(tri)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("partial_count") < plan.index("REPARTITION_BY_NUM")
