@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gaugeworks.functions import fixed
 from gaugeworks.operators import kernels
@@ -88,17 +93,69 @@ def edge_facts(tri: DataFrame) -> DataFrame:
     return found.withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
-def per_mesh(vertex: DataFrame, tri: DataFrame, kernel, schema: str) -> DataFrame:
-    """kernel(vertices, triangles) of each shape, whose result (a tuple, or None for nothing) follows the shape."""
+def whole_shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in order of shape, cut anew so that no shape is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shape = batch.column("shape")
+        at = max(pc.index(shape, shape[-1]).as_py(), 0)  # where the last shape begins
+        if not at and held and held[-1].column("shape")[-1].as_py() == shape[-1].as_py():
+            held.append(batch)
+            continue
+        if held or at:
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+        held = [batch.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def over_meshes(sides: list[tuple[DataFrame, DataFrame]], kernel, schema: str) -> DataFrame:
+    """kernel(vertices, triangles of each side in turn) of each shape that all sides hold, whose result (a tuple, or None for
+    nothing) follows the shape. Rows of a task are sorted and streamed, many shapes in a batch; one shape is held at a time."""
+    rows = None
+    for side, (vertex, tri) in enumerate(sides):
+        kinds = vertex.schema["vid"].dataType, tri.schema["tid"].dataType, tri.schema["a"].dataType
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        shape = F.col("shape").cast("string").alias("shape")
+        v = vertex.select(shape, F.lit(2 * side).alias("part"), "vid", none(kinds[1], "tid"), *[F.col(x).cast("double").alias(x) for x in "xyz"], *[none(kinds[2], x) for x in "abc"])
+        t = tri.select(shape, F.lit(2 * side + 1).alias("part"), none(kinds[0], "vid"), "tid", *[none("double", x) for x in "xyz"], "a", "b", "c")
+        rows = v.unionByName(t) if rows is None else rows.unionByName(v).unionByName(t)
+    fields = T.StructType.fromDDL(f"shape string, {schema}")
+    arrow, parts = to_arrow_schema(fields), 2 * len(sides)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_shapes(batches):
+            names = table.column("shape").combine_chunks().dictionary_encode()
+            number = lambda x: table.column(x).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+            own, part, vid = names.indices.fill_null(-1).to_numpy(zero_copy_only=False), number("part"), number("vid")
+            points = np.stack([table.column(x).to_numpy() for x in "xyz"], axis=1)
+            corners = np.stack([number(x) for x in "abc"], axis=1)
+            cuts = np.flatnonzero((np.diff(own) != 0) | (np.diff(part) != 0)) + 1
+            begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(own)]])
+            first = np.flatnonzero(np.concatenate([[True], np.diff(own[begin]) != 0]))
+            out = []
+            for at, after in zip(first.tolist(), [*first[1:].tolist(), len(begin)], strict=True):
+                if after - at < parts:
+                    continue
+                args = []
+                for k in range(at, after, 2):
+                    v, t = slice(begin[k], end[k]), slice(begin[k + 1], end[k + 1])
+                    args += [points[v], np.searchsorted(vid[v], corners[t])]
+                got = kernel(*args)
+                if got is not None:
+                    code = own[begin[at]]
+                    out.append((None if code < 0 else names.dictionary[int(code)].as_py(), *got))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return spread(rows, "shape").sortWithinPartitions("shape", "part", "vid", "tid").mapInArrow(run, fields)
 
-    def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("vid")
-        places = np.searchsorted(v["vid"].to_numpy(), t.sort_values("tid")[["a", "b", "c"]].to_numpy())
-        got = kernel(v[["x", "y", "z"]].to_numpy(float), places) if len(v) and len(t) else None
-        return pd.DataFrame([] if got is None else [(key[0], *got)], columns=[x.split()[0] for x in f"shape string, {schema}".split(", ")])
 
-    left, right = (df.select(*[F.col(x).alias(x) for x in names]) for df, names in ((vertex, ("shape", "vid", "x", "y", "z")), (tri, ("shape", "tid", "a", "b", "c"))))
-    return left.groupBy("shape").cogroup(right.groupBy("shape")).applyInPandas(run, f"shape string, {schema}")
+def per_mesh(vertex: DataFrame, tri: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(vertices, triangles) of each shape, whose result (a tuple, or None for nothing) follows the shape."""
+    return over_meshes([(vertex, tri)], kernel, schema)
 
 
 def betti(vertex: DataFrame, tri: DataFrame) -> DataFrame:

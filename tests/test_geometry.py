@@ -138,3 +138,18 @@ def test_edges_are_dealt_out_before_they_are_counted(spark):
     tri = spark.createDataFrame([("s", k, *map(int, x)) for k, x in enumerate(TRI)], "shape string, tid int, a int, b int, c int")
     plan = G.edge_facts(tri)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == 1 and plan.index("partial_count") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_shapes_are_streamed_whole_over_any_batches(spark):
+    """Shapes of many sizes in batches of 7 rows, one without triangles; no call of its own for each shape."""
+    rng = np.random.default_rng(2)
+    size = {f"s{k}": int(n) for k, n in enumerate(rng.integers(3, 30, 20))}
+    v = spark.createDataFrame([(s, k, float(k), 1.0, 2.0) for s, n in size.items() for k in range(n)], "shape string, vid int, x double, y double, z double")
+    t = spark.createDataFrame([(s, k, k, k + 1, k + 2) for s, n in size.items() if s != "s7" for k in range(n - 2)], "shape string, tid int, a int, b int, c int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = G.per_mesh(v, t, lambda p, f: (len(p), len(f), bool((p[f[:, 1], 0] == np.arange(1, len(f) + 1)).all())), "n int, m int, ok boolean")
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in got.collect()} == {(s, n, n - 2, True) for s, n in size.items() if s != "s7"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
