@@ -188,7 +188,7 @@ def betti_mesh(spark, d):
     """A third of the parts each as boxes, hollow boxes and rings."""
     shapes = [(list(CORNERS), list(FACES)), hollow_mesh(), ring_mesh()]
     kind = c("p_partkey") % 3
-    p = table(spark, d, "part").select(c("p_partkey").cast("string").alias("shape"), kind.alias("k"))
+    p = G.spread(table(spark, d, "part").select(c("p_partkey").cast("string").alias("shape"), kind.alias("k")), "shape")
     vertex = spark.createDataFrame([(k, i, *map(float, x)) for k, (v, _) in enumerate(shapes) for i, x in enumerate(v)], "k long, vid int, x double, y double, z double")
     tri = spark.createDataFrame([(k, i, *x) for k, (_, t) in enumerate(shapes) for i, x in enumerate(t)], "k long, tid int, a int, b int, c int")
     return G.betti(p.join(F.broadcast(vertex), "k").drop("k"), p.join(F.broadcast(tri), "k").drop("k"))

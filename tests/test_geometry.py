@@ -153,3 +153,20 @@ def test_shapes_are_streamed_whole_over_any_batches(spark):
         assert {tuple(r) for r in got.collect()} == {(s, n, n - 2, True) for s, n in size.items() if s != "s7"}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parts_need_no_step_for_each_triangle(monkeypatch):
+    """Parts of triangle soups and of a long, shuffled strip, as union-find gives them."""
+    rng = np.random.default_rng(8)
+    soups = [rng.integers(0, 40, (int(n), 3)) for n in rng.integers(1, 40, 50)]
+    strip = np.arange(5000)[:, None] + np.arange(3)
+    for t in (*soups, rng.permutation(5002)[strip]):
+        names, places = np.unique(t, return_inverse=True)
+        forest = kernels.UnionFind(len(names))
+        for a, b, c in places.reshape(-1, 3).tolist():
+            forest.union(a, b)
+            forest.union(b, c)
+        want = forest.labels()[places.reshape(-1, 3)[:, 0]]
+        with monkeypatch.context() as m:
+            m.delattr(kernels, "UnionFind")
+            assert np.array_equal(kernels.mesh_parts(t), want)
