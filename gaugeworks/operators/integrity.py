@@ -111,7 +111,7 @@ def identity_leaks(spark_rows: DataFrame, key: str, json_column: str, forbidden_
     """Forbidden keys and texts anywhere in a JSON document, with their paths.
 
     Trees are walked level by level with a recursive query over variants: every node (object entry or array item) is a
-    row, so a deep or wide document is not held by one call."""
+    row, so a deep or wide document is not held by one call. LIMIT ALL: recursion isn't held to Spark's million rows."""
     spark = spark_rows.sparkSession
     spark_rows.select(F.col(key).cast("string").alias("k"), F.try_parse_json(F.col(json_column)).alias("v")).createOrReplaceTempView("__json_roots")
     keys = ", ".join(f"'{k}'" for k in forbidden_keys)
@@ -122,6 +122,6 @@ def identity_leaks(spark_rows: DataFrame, key: str, json_column: str, forbidden_
         UNION ALL
         SELECT n.k, concat(n.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END), e.key, e.value, n.depth + 1
         FROM nodes n, LATERAL variant_explode(n.v) e WHERE n.depth < 60)
-      SELECT k AS key, path, CASE WHEN name IN ({keys}) THEN 'key' ELSE 'text' END AS kind FROM nodes
+      SELECT k AS key, path, CASE WHEN name IN ({keys}) THEN 'key' ELSE 'text' END AS kind FROM (SELECT * FROM nodes LIMIT ALL)
       WHERE name IN ({keys}) OR (schema_of_variant(v) = 'STRING' AND regexp_like(CAST(v AS STRING), '{pattern}'))
     """)

@@ -89,3 +89,12 @@ def test_canonical_ids_and_policy(spark):
     files = spark.createDataFrame([("c", "T1", "input/a.pdf"), ("c", "T1", "input/x.png")], "case string, task string, path string")
     policy = spark.createDataFrame([("T1", ["input/a.pdf", "input/b.json"], [r"input/.*\.pdf"])], "task string, required array<string>, allowed array<string>")
     assert {(r.rule, r.path) for r in I.policy_violations(files, policy).collect()} == {("required file missing", "input/b.json"), ("file not allowed", "input/x.png")}
+
+
+def test_leaks_of_more_nodes_than_the_row_limit(spark):
+    rows = spark.createDataFrame([(k, '{"a": [{"secret": 1}, "x@y"]}') for k in range(50)], "id long, doc string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert I.identity_leaks(rows, "id", "doc", ["secret"], "@").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
