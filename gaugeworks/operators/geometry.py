@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -288,15 +289,15 @@ def type_scores(pred: DataFrame, true: DataFrame, pitch: float) -> DataFrame:
     """shape, iou of the best of 24 rotations of filled voxels of paired meshes, one kernel call for each shape.
 
     pred, true: shape, vertices (array of x, y, z), triangles (array of a, b, c)."""
-    both = pred.select("shape", F.col("vertices").alias("pv"), F.col("triangles").alias("pt")).join(true.select("shape", F.col("vertices").alias("tv"), F.col("triangles").alias("tt")), "shape")
+    both = pred.select("shape", F.col("vertices").alias("pv"), F.col("triangles").alias("pt")).join(true.select("shape", F.col("vertices").alias("tv"), F.col("triangles").alias("tt")).hint("merge"), "shape")
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                cells = [kernels.fill(kernels.surface_cells(np.array([list(x) for x in v], float), np.array([list(x) for x in t], int), pitch)) for v, t in ((r.pv, r.pt), (r.tv, r.tt))]
+                cells = [kernels.fill(kernels.surface_cells(np.array(v.tolist(), float), np.array(t.tolist(), int), pitch)) for v, t in ((r.pv, r.pt), (r.tv, r.tt))]
                 score, rot = kernels.best_iou(cells[1], cells[0])
                 out.append((r.shape, score, rot))
             yield pd.DataFrame(out, columns=["shape", "iou", "rot"])
 
-    return both.mapInPandas(run, "shape string, iou double, rot int")
+    return spread(both, "shape").mapInPandas(run, "shape string, iou double, rot int")

@@ -237,7 +237,7 @@ def part_voxel_scores(spark, d):
     some = vertex.where("x >= 0")
     v = lambda scale: some.groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", (c("x") * scale).alias("x"), (c("y") * scale).alias("y"), (c("z") * scale).alias("z")))), lambda s: F.array(s["x"], s["y"], s["z"])).alias("vertices"))
     t = tri.groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("tid", "a", "b", "c"))), lambda s: F.array(s["a"], s["b"], s["c"])).alias("triangles"))
-    return G.type_scores(v(0.9).join(t, "shape"), v(1.0).join(t, "shape"), 0.5)
+    return G.type_scores(v(0.9).join(t.hint("merge"), "shape"), v(1.0).join(t.hint("merge"), "shape"), 0.5)
 
 
 @query(f"""WITH {VOXELS}, n AS (SELECT shape, count(*) AS n FROM va GROUP BY 1), k AS (SELECT shape, kind, count(*) AS k FROM (SELECT DISTINCT shape, kind, ix, iy, iz FROM lat) GROUP BY ALL) SELECT shape AS "case", kind, round(k / n, 6) AS share FROM k JOIN n USING (shape)""")

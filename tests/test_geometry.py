@@ -39,6 +39,16 @@ def test_surface_cells_do_not_depend_on_chunks():
     assert len(kernels.fill(whole)) == 9**3
 
 
+def test_halved_surfaces_hold_each_point_once(monkeypatch):
+    """A grid instead of 4^k triangles: nothing is sorted that is many times the points; cells are those of single splits."""
+    vertices, most = BOX * [4.7, 0.93, 1.0], []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: most.append(len(x)) or unique(x, *a, **k))
+    got = kernels.surface_cells(vertices, TRI, 0.5)
+    assert max(most) < 10_000
+    assert np.array_equal(got, kernels.surface_cells(vertices, TRI, 0.5, most=3))
+
+
 def test_best_iou_undoes_a_rotation_but_not_a_mirror():
     rng = np.random.default_rng(2)
     shape = np.unique(rng.integers(0, 6, (40, 3)), axis=0)
