@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import fixed
 from gaugeworks.functions.scalar import rail_class, type_compatible
+from gaugeworks.operators.geometry import spread
 from gaugeworks.operators.kernels import heaviest_pairs
 
 
@@ -23,10 +24,16 @@ def validate(component: DataFrame, terminal: DataFrame, net: DataFrame, incidenc
     """board, rule, id of structural faults."""
 
     def twice(df: DataFrame, key: str, rule: str) -> DataFrame:
-        return df.groupBy("board", key).count().where("count > 1").select("board", F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+        return dealt(df.select("board", key), key).groupBy("board", key).count().where("count > 1").select("board", F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
 
-    lost = lambda a, b, key, rule: a.join(b, ["board", key], "left_anti").select("board", F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id")).distinct()
-    several = incidence.groupBy("board", "tid").agg(F.count_distinct("nid").alias("n")).where("n > 1")
+    def lost(a: DataFrame, b: DataFrame, key: str, rule: str) -> DataFrame:
+        both = a.select("board", key, F.lit(True).alias("own")).unionByName(b.select("board", key, F.lit(False).alias("own")))
+        alone = dealt(both, key).groupBy("board", key).agg((F.bool_and("own") | (F.bool_or("own") & (F.col("board").isNull() | F.col(key).isNull()))).alias("alone")).where("alone")
+        return alone.select("board", F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+
+    # rows are dealt out before they are counted: most keys occur once or twice, so that counts beforehand would only hold them
+    dealt = lambda df, key: spread(df, "board", key)
+    several = dealt(incidence.select("board", "tid", "nid"), "tid").groupBy("board", "tid").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low <> high")
     return (
         twice(component, "cid", "component repeated")
         .unionByName(twice(terminal, "tid", "terminal repeated"))

@@ -8,6 +8,7 @@ from gaugeworks.functions import fixed
 from gaugeworks.functions import scalar as S
 from gaugeworks.operators import graphs as G
 from gaugeworks.operators import truth as T
+from gaugeworks.operators.geometry import spread
 from gaugeworks.plans.adapters import BOARDS, POINTS, RAIL_CLASSES, RAIL_NAMES, boards, points, sides, table
 
 c = F.col
@@ -59,8 +60,8 @@ UNION ALL SELECT board, 'terminal on several nets', tid::VARCHAR FROM t GROUP BY
 UNION ALL SELECT DISTINCT board, 'incidence without net', nid::VARCHAR FROM t WHERE nid NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
 def graph_validate(spark, d):
     t = table(spark, d, "lineitem").select(c("l_orderkey").alias("board"), c("l_linenumber").alias("tid"), c("l_partkey").alias("cid"), c("l_suppkey").alias("nid"))
-    component = t.select("board", "cid").distinct()
-    used = t.select("board", "nid").distinct()
+    component = spread(t.select("board", "cid"), "board", "cid").distinct()
+    used = spread(t.select("board", "nid"), "board", "nid").distinct()
     net = used.join(table(spark, d, "supplier").where("s_acctbal > 0").select(c("s_suppkey").alias("nid")), "nid").select("board", "nid")
     return G.validate(component, t.select("board", "cid", "tid"), net, t.select("board", "tid", "nid"))
 
